@@ -147,8 +147,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     kind = base.schema[_ID].dataType.simpleString()
     row = f"h long, {_ID} {kind}, at int"
     known = base.where(F.col(_ID).isNotNull() & F.col(_TEXT).isNotNull())
-    anchors = stored(known.mapInArrow(_anchors(window, gram), row), "anchors")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    anchors = known.mapInArrow(_anchors(window, gram), row)  # worked out twice: the table would be larger than the work
+    repeated = stored(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     places = anchors.join(repeated.hint("shuffle_hash"), "h").groupBy(_ID).agg(F.sort_array(F.collect_list("at")).alias("anchors"))
     places = stored(places, "places")
     text = base.repartition(_ID)
