@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substring_dedup, token_counts
+from . import bpe, mixing, quality, simhash, substring_dedup, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,9 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_store.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_store.contents(shards)
