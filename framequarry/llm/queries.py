@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substring_dedup, token_counts, token_store
+from . import adapters, bpe, chroma, mixing, quality, simhash, substring_dedup, token_counts, token_store, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_store.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return token_store.contents(shards)
+
+
+@query
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return tool_calls.linked(adapters.calls_of(turns), adapters.results_of(turns), adapters.SCHEMAS)
+
+
+@query
+def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = chroma.fingerprints(adapters.audio_of(table(spark, sf_dir, "embeddings")))
+    return chroma.aligned(prints, prints.where("id % 20 = 0").select("id"))
