@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adapters, bpe, chroma, mixing, quality, simhash, substring_dedup, token_counts, token_store, tool_calls
+from . import adapters, bpe, chroma, mixing, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_store, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = chroma.fingerprints(adapters.audio_of(table(spark, sf_dir, "embeddings")))
     return chroma.aligned(prints, prints.where("id % 20 = 0").select("id"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
