@@ -169,15 +169,21 @@ def conformance(a: Column, b: Column, large: bool = False) -> Column:
 
 def lab(c: Column) -> Column:
     """CIELAB under D65 as struct l, a, b."""
-    r, g, b = linear(red(c)), linear(green(c)), linear(blue(c))
-    x = (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047
-    y = 0.2126729 * r + 0.7151522 * g + 0.0721750 * b
-    z = (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883
 
     def f(t: Column) -> Column:
         return F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise((903.3 * t + 16.0) / 116.0)
 
-    return F.struct((116.0 * f(y) - 16.0).alias("l"), (500.0 * (f(x) - f(y))).alias("a"), (200.0 * (f(y) - f(z))).alias("b"))
+    def of_light(s: Column) -> Column:
+        r, g, b = s["r"], s["g"], s["b"]
+        x = (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047
+        y = 0.2126729 * r + 0.7151522 * g + 0.0721750 * b
+        z = (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883
+        return let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), lambda v: let(F.struct(f(v["x"]).alias("x"), f(v["y"]).alias("y"), f(v["z"]).alias("z")), of_roots))
+
+    def of_roots(v: Column) -> Column:
+        return F.struct((116.0 * v["y"] - 16.0).alias("l"), (500.0 * (v["x"] - v["y"])).alias("a"), (200.0 * (v["y"] - v["z"])).alias("b"))
+
+    return let(c, lambda p: let(F.struct(linear(red(p)).alias("r"), linear(green(p)).alias("g"), linear(blue(p)).alias("b")), of_light))
 
 
 def squared_rgb(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ def consecutive(frames: DataFrame) -> DataFrame:
 
 def pair_pixels(pairs: DataFrame) -> DataFrame:
     both = F.zip_with("before", "after", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    flat = pairs.select("frame_id", "w", F.posexplode(both).alias("i", "p"))
+    flat = pairs.select("frame_id", "w", F.posexplode_outer(both).alias("i", "p"))
     return flat.select("frame_id", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "p.a", "p.b")
 
 

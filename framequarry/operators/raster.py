@@ -332,7 +332,7 @@ def audited(frames: DataFrame, tolerance: int = 0) -> DataFrame:
 
     found = {"isolated_pixel": isolated, "broken_corner": corner, "accidental_checker": checker, "stair_zigzag": zigzag}
     flags = stencil(frames, lambda p, n, x, y: F.struct(p.alias("argb"), *[f(p, n, x, y).alias(k) for k, f in found.items()]))
-    flat = flags.select("frame_id", "w", F.posexplode("pixels").alias("i", "f"))
+    flat = flags.select("frame_id", "w", F.posexplode_outer("pixels").alias("i", "f"))
     rules = F.filter(F.array(*[F.when(F.col(f"f.{k}"), F.lit(k)) for k in found]), lambda r: r.isNotNull())
     flat = flat.select("frame_id", F.explode(rules).alias("rule"), (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), F.col("f.argb").alias("argb"))
     return flat

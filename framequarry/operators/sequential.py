@@ -247,7 +247,7 @@ def quantized(frames: DataFrame, colours: int) -> DataFrame:
 
 def exploded_labels(labelled: DataFrame) -> DataFrame:
     """(frame_id, label, area, x, y, width, height) of each component."""
-    flat = labelled.select("frame_id", "w", F.posexplode("pixels").alias("i", "label")).where("label > 0")
+    flat = labelled.select("frame_id", "w", F.posexplode_outer("pixels").alias("i", "label")).where("label > 0")
     x, y = (F.col("i") % F.col("w")).cast("int"), (F.col("i") / F.col("w")).cast("int")
     found = flat.select("frame_id", "label", x.alias("x"), y.alias("y")).groupBy("frame_id", "label")
     out = found.agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))

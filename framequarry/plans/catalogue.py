@@ -335,17 +335,17 @@ as_pixels("fill_holes", sequential.holes_filled)
 on_frames("breathe", lambda fr: S.pixels(timeline.breathe(fr).withColumn("frame_id", F.col("frame_id") * 3 + F.col("phase"))), Q.PX + ", " + "g AS (SELECT DISTINCT frame_id FROM px), c AS (SELECT g.frame_id, CAST(a.v AS INTEGER) AS x, CAST(b.v AS INTEGER) AS y, k.v AS k FROM g, (SELECT unnest(range(0, 8)) AS v) a, (SELECT unnest(range(0, 8)) AS v) b, (SELECT unnest(range(0, 3)) AS v) k) SELECT c.frame_id * 3 + c.k AS frame_id, c.x, c.y, coalesce(p.argb, 0) AS argb FROM c LEFT JOIN px p ON p.frame_id = c.frame_id AND p.x = c.x AND p.y = c.y - (CASE c.k WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END)")
 on_frames(
     "fade",
-    lambda fr: timeline.fade(fr).select("frame_id", "step", "w", F.posexplode("pixels").alias("i", "argb")).select("frame_id", "step", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "argb"),
+    lambda fr: timeline.fade(fr).select("frame_id", "step", "w", F.posexplode_outer("pixels").alias("i", "argb")).select("frame_id", "step", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "argb"),
     Q.PX + f"SELECT frame_id, CAST(s.v AS INTEGER) AS step, x, y, {Q.pack(f'({A} * ((3 - s.v) * 255 // 3) // 255)', R, G, B)} AS argb FROM px, (SELECT unnest(range(0, 4)) AS v) s",
 )
 on_frames(
     "typewriter",
-    lambda fr: timeline.typewriter(fr).select("frame_id", "step", "w", F.posexplode("pixels").alias("i", "argb")).select("frame_id", "step", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "argb"),
+    lambda fr: timeline.typewriter(fr).select("frame_id", "step", "w", F.posexplode_outer("pixels").alias("i", "argb")).select("frame_id", "step", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "argb"),
     Q.PX + "SELECT frame_id, CAST(s.v AS INTEGER) AS step, x, y, CASE WHEN y <= s.v THEN argb ELSE 0 END AS argb FROM px, (SELECT unnest(range(0, 8)) AS v) s",
 )
 on_frames(
     "onion_skin",
-    lambda fr: timeline.onion_skin(fr).select("frame_id", "side", "w", F.posexplode("pixels").alias("i", "argb")).select("frame_id", "side", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "argb"),
+    lambda fr: timeline.onion_skin(fr).select("frame_id", "side", "w", F.posexplode_outer("pixels").alias("i", "argb")).select("frame_id", "side", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "argb"),
     Q.PX
     + f""", o AS (SELECT frame_id, lag(frame_id) OVER w AS p, lead(frame_id) OVER w AS n FROM (SELECT DISTINCT frame_id, tag FROM px) WINDOW w AS (PARTITION BY tag ORDER BY frame_id))
  SELECT o.frame_id, 'previous' AS side, x, y, {Q.pack(f'({A} * 102 // 255)', R, G, B)} AS argb FROM o JOIN px ON px.frame_id = o.p
@@ -367,7 +367,7 @@ def _composite(s: SparkSession, d: str) -> DataFrame:
 add("composite", _composite)
 
 # the log
-add("oplog_last_writer", lambda s, d: S.last_writes(S.writes_from_lineitem(S.table(s, d, "lineitem"))), Q.LWRITES + "SELECT frame_id, x, y, arg_max(argb, (o1, o2)) AS argb FROM log GROUP BY frame_id, x, y")
+add("oplog_last_writer", lambda s, d: S.last_writes(S.writes_from_lineitem(S.table(s, d, "lineitem"))), Q.LWRITES + "SELECT frame_id, x, y, arg_max(argb, (o1, o2, argb)) AS argb FROM log GROUP BY frame_id, x, y")
 add("oplog_as_of", lambda s, d: log.as_of(log.from_events(S.table(s, d, "events")), 50), Q.OPLOG + ", k AS (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY serial DESC) AS rn FROM log WHERE serial <= 50) SELECT session, kind, CAST(serial AS INTEGER) AS serial, k FROM k WHERE rn = 1")
 add(
     "coalesce_runs",
@@ -381,7 +381,7 @@ add("checkpoints", lambda s, d: log.checkpoints(log.from_events(S.table(s, d, "e
 add(
     "layer_histogram",
     lambda s, d: S.last_writes(S.writes_from_lineitem(S.table(s, d, "lineitem"))).groupBy("frame_id", C.family(F.col("argb")).alias("family")).agg(F.count("*").alias("cnt")),
-    Q.LWRITES + f", px AS (SELECT frame_id, x, y, arg_max(argb, (o1, o2)) AS argb FROM log GROUP BY frame_id, x, y) SELECT frame_id, {Q.family('argb')} AS family, count(*) AS cnt FROM px GROUP BY ALL",
+    Q.LWRITES + f", px AS (SELECT frame_id, x, y, arg_max(argb, (o1, o2, argb)) AS argb FROM log GROUP BY frame_id, x, y) SELECT frame_id, {Q.family('argb')} AS family, count(*) AS cnt FROM px GROUP BY ALL",
 )
 
 # sequential kernels

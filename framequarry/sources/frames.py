@@ -68,8 +68,10 @@ def last_writes(log: DataFrame) -> DataFrame:
 
 
 def pixels(frames: DataFrame) -> DataFrame:
-    """(frame_id, x, y, argb) of every pixel."""
-    flat = frames.select("frame_id", "w", F.posexplode("pixels").alias("i", "argb"))
+    """(frame_id, x, y, argb) of every pixel. The outer form, as the plain one
+    brings a filter on the array, which is then worked out a second time below
+    all that it depends on."""
+    flat = frames.select("frame_id", "w", F.posexplode_outer("pixels").alias("i", "argb")).where("i is not null")
     return flat.select("frame_id", (F.col("i") % F.col("w")).cast("int").alias("x"), C.idiv(F.col("i"), F.col("w")).alias("y"), "argb")
 
 
