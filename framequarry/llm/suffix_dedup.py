@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 _LAST = (1 << 63) - 1
-_RUN_BYTES = 12 << 20
+_RUN_BYTES = 6 << 20
+_CHUNK = 1 << 20
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -133,7 +134,7 @@ class Run:
         found = []
         i, n = 0, len(self.off) - 1
         while i < n:
-            j = max(i + 1, int(np.searchsorted(self.off, self.off[i] + K.CHUNK, side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(self.off, self.off[i] + _CHUNK, side="right")) - 1)
             base = self.off[i]
             found.append(self._scan(self.data[base : self.off[j]], self.off[i : j + 1] - base, base))
             i = j
@@ -168,22 +169,25 @@ class Run:
     def repeated(self, answers: dict[int, bytes], buckets: int) -> np.ndarray:
         """Anchors (places in self.at) that occur twice or more somewhere."""
         keys = np.unique(self.anchor)
-        keys = keys[_bits(answers, _edges(keys, buckets))]
+        keys = keys[_bits(answers, _ranges(keys, buckets))]
         at = np.searchsorted(keys, self.anchor)
         return np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == self.anchor)) if len(keys) else np.empty(0, np.int64)
 
 
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets' ranges begin in sorted keys, and the end."""
-    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+def _ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """The buckets that sorted keys fall into, with the range of each."""
+    if not len(keys):
+        return []
+    own = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    start = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+    return list(zip(own[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
 
 
-def _bits(answers: dict[int, bytes], edges: np.ndarray) -> np.ndarray:
-    out = np.zeros(edges[-1], bool)
-    for b, raw in answers.items():
-        n = edges[b + 1] - edges[b]
-        out[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+def _bits(answers: dict[int, bytes], ranges: list[tuple[int, int, int]]) -> np.ndarray:
+    out = np.zeros(ranges[-1][2] if ranges else 0, bool)
+    for b, i, j in ranges:
+        if b in answers:
+            out[i:j] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=j - i).astype(bool)
     return out
 
 
@@ -217,8 +221,7 @@ class Rounds:
     def send_anchors(self, key: tuple, table: pa.Table) -> pa.Table:
         run = Run(table, self.length, self.gram)
         keys, count = np.unique(run.anchor, return_counts=True)
-        edges = _edges(keys, self.buckets)
-        return _rows(_SENT, [(b, self._number(key), int(j - i), squeezed(packed(keys[i:j])), np.packbits(count[i:j] > 1).tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i])
+        return _rows(_SENT, [(b, self._number(key), int(j - i), squeezed(packed(keys[i:j])), np.packbits(count[i:j] > 1).tobytes()) for b, i, j in _ranges(keys, self.buckets)])
 
     def answer_anchors(self, key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -240,8 +243,7 @@ class Rounds:
         which = run.repeated(self._known(answers)[1], self.buckets)
         keys, first = np.unique(run.context[which], return_index=True)
         ids, at = run.place(which[first])
-        edges = _edges(keys, self.buckets)
-        return _rows(_SENT, [(b, self._number(key), int(j - i), squeezed(packed(keys[i:j])), squeezed(ids[i:j].tobytes() + at[i:j].tobytes())) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i])
+        return _rows(_SENT, [(b, self._number(key), int(j - i), squeezed(packed(keys[i:j])), squeezed(ids[i:j].tobytes() + at[i:j].tobytes())) for b, i, j in _ranges(keys, self.buckets)])
 
     def answer_contexts(self, key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -260,21 +262,19 @@ class Rounds:
         context, in the order in which suffixes are sent."""
         which = run.repeated(known[1], self.buckets)
         keys, first = np.unique(run.context[which], return_index=True)
-        heads = which[first[_bits(known[2], _edges(keys, self.buckets))]]
+        heads = which[first[_bits(known[2], _ranges(keys, self.buckets))]]
         return which, heads[np.argsort(run.anchor[heads], kind="stable")]
 
     def _sorted(self, run: Run, heads: np.ndarray) -> list[tuple[int, np.ndarray, list[bytes]]]:
         """For each bucket, its heads in the order of their suffixes."""
         raw = run.data.tobytes()
-        edges = _edges(run.anchor[heads], self.buckets)
         out = []
-        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if j > i:
-                own = heads[i:j]
-                strings = [raw[a:e] for a, e in zip(run.at[own].tolist(), (run.high[own] + self.length).tolist(), strict=True)]
-                ids, at = run.place(own)
-                order = sorted(range(len(own)), key=lambda k: (strings[k], ids[k], at[k]))
-                out.append((b, own[order], [strings[k] for k in order]))
+        for b, i, j in _ranges(run.anchor[heads], self.buckets):
+            own = heads[i:j]
+            strings = [raw[a:e] for a, e in zip(run.at[own].tolist(), (run.high[own] + self.length).tolist(), strict=True)]
+            ids, at = run.place(own)
+            order = sorted(range(len(own)), key=lambda k: (strings[k], ids[k], at[k]))
+            out.append((b, own[order], [strings[k] for k in order]))
         return out
 
     # round 3: suffixes
