@@ -95,7 +95,7 @@ def _windows(window: int, gram: int):
     return run
 
 
-def _spans(window: int, gram: int, texts: bool):
+def _spans(window: int, gram: int, texts: bool, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in K.pieces(batch, _TEXT):
@@ -120,51 +120,62 @@ def _spans(window: int, gram: int, texts: bool):
                     pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)),
                     pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], ["begin", "end"]),
                 )
-                out = [part.column(0), pa.array(words.count.astype(np.int64)), pa.array((lost[words.first[1:]] - lost[words.first[:-1]]).astype(np.int64)), spans]
+                out = [part.column(0), *[part.column(part.schema.get_field_index("__row"))] * carried, pa.array(words.count.astype(np.int64)), pa.array((lost[words.first[1:]] - lost[words.first[:-1]]).astype(np.int64)), spans]
                 if texts:
                     stay = ~gone
                     raw, kept = data.tobytes(), []
                     for i in range(len(part)):
                         a, b = words.first[i], words.first[i + 1]
                         if lost[b] == lost[a]:
-                            kept.append(b" ".join(raw[off[i] : off[i + 1]].split()))
+                            kept.append(raw[off[i] : off[i + 1]] if carried else b" ".join(raw[off[i] : off[i + 1]].split()))
                         else:
                             own = np.flatnonzero(stay[a:b]) + a
                             kept.append(b" ".join([raw[s:e] for s, e in zip(words.start[own].tolist(), words.end[own].tolist(), strict=True)]))
                     out.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(out, [_ID, "n_words", "n_removed", "spans", *(["kept"] if texts else [])])
+                yield pa.RecordBatch.from_arrays(out, [_ID, *["__row"] * carried, "n_words", "n_removed", "spans", *(["kept"] if texts else [])])
 
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 5, texts: bool = True) -> DataFrame:
-    """One row per document: id, n_words, n_removed, spans (maximal runs of
-    removed words as [begin, end) places) and, if texts, kept (the kept words
-    joined by one space)."""
+def _found(base: DataFrame, window: int, gram: int, texts: bool) -> DataFrame:
+    """base: __id, __text and perhaps __row, which is carried along."""
     if not 1 <= gram <= window:
         raise ValueError("gram lies between 1 and window")
-    base = docs.select(F.col(id_col).alias(_ID), F.col(text_col).alias(_TEXT))
-    kind = base.schema[_ID].dataType.simpleString()
+    kinds = dict(base.dtypes)
+    kind, carried = kinds[_ID], "__row" in kinds
     row = f"h long, {_ID} {kind}, at int"
-    known = base.where(F.col(_ID).isNotNull() & F.col(_TEXT).isNotNull())
+    known = base.select(_ID, _TEXT).where(F.col(_ID).isNotNull() & F.col(_TEXT).isNotNull())
     anchors = known.mapInArrow(_anchors(window, gram), row)  # worked out twice: the table would be larger than the work
     repeated = stored(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     places = anchors.join(repeated.hint("shuffle_hash"), "h").groupBy(_ID).agg(F.sort_array(F.collect_list("at")).alias("anchors"))
     places = stored(places, "places")
     text = base.repartition(_ID)
-    around = text.join(places.hint("shuffle_hash"), _ID).select(_ID, _TEXT, "anchors")
+    # all columns go along, so that both uses of the text read one shuffle
+    around = text.join(places.hint("shuffle_hash"), _ID).select(*base.columns, "anchors")
     first = around.mapInArrow(_windows(window, gram), row).groupBy("h").agg(F.min(_ID).alias("first_id"), F.min_by("at", _ID).alias("at"))
     firsts = first.groupBy(F.col("first_id").alias(_ID)).agg(F.collect_list("at").alias("firsts"))
     marks = places.join(firsts, _ID, "left")
-    out = f"{_ID} {kind}, n_words long, n_removed long, spans array<struct<begin:int,end:int>>" + ", kept string" * texts
-    whole = text.join(marks.hint("shuffle_hash"), _ID, "left").select(_ID, _TEXT, "anchors", "firsts")
-    return whole.mapInArrow(_spans(window, gram, texts), out).withColumnRenamed(_ID, id_col)
+    extra = f"__row {kinds['__row']}, " if carried else ""
+    out = f"{_ID} {kind}, {extra}n_words long, n_removed long, spans array<struct<begin:int,end:int>>" + ", kept string" * texts
+    whole = text.join(marks.hint("shuffle_hash"), _ID, "left").select(*base.columns, "anchors", "firsts")
+    return whole.mapInArrow(_spans(window, gram, texts, carried), out)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 5, texts: bool = True) -> DataFrame:
+    """One row per document: id, n_words, n_removed, spans (maximal runs of
+    removed words as [begin, end) places) and, if texts, kept (the kept words
+    joined by one space)."""
+    base = docs.select(F.col(id_col).alias(_ID), F.col(text_col).alias(_TEXT))
+    return _found(base, window, gram, texts).withColumnRenamed(_ID, id_col)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 5) -> DataFrame:
     """docs with the repeated words cut out of the text column; texts that lose
-    nothing stay as they are, byte for byte; the others are the kept words
-    joined by one space. All rows and columns stay."""
-    found = repeats(docs, id_col, text_col, window, gram).where("n_removed > 0").select(F.col(id_col).alias(_ID), F.col("kept").alias("__kept"))
-    joined = docs.join(found, F.col(id_col) == F.col(_ID), "left")
-    return joined.withColumn(text_col, F.coalesce("__kept", text_col)).select(*docs.columns)
+    nothing stay as they are, byte for byte (a null one becomes empty); the
+    others are the kept words joined by one space. All rows and columns stay."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("_"))
+    base = docs.select(F.col(id_col).alias(_ID), F.col(text_col).alias(_TEXT), row.alias("__row"))
+    found = _found(base, window, gram, True)
+    back = {id_col: F.col(_ID), text_col: F.col("kept")} | {c: F.col(f"__row.c{i}") for i, c in enumerate(rest)}
+    return found.select(*[back[c].alias(c) for c in docs.columns])
