@@ -150,7 +150,7 @@ def rules(
 
     sums = sums.select("lang", shares(F.col("ref_class")).alias("ref_class"), shares(F.col("ref_word")).alias("ref_word"))
     judged = found.join(F.broadcast(sums), "lang", "left")  # a row for each language of COMMON at most
-    long_enough = F.col("n_words") >= min_words
+    long_enough = (F.col("n_words") >= min_words) & F.col("ref_class").isNotNull()
     judged = judged.withColumn("class_distance", F.when(long_enough, _distance(shares(F.array(*classes)), F.col("ref_class"))))
     judged = judged.withColumn("word_distance", F.when(long_enough, _distance(shares(F.array(*words)), F.col("ref_word"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
