@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..operators import log, measures, pairs, raster, sequential, timeline
+from ..operators import filters, log, measures, pairs, raster, sequential, timeline
+from ..sources import codecs, generate
 from ..sources import frames as S
 from . import recipe
 from . import sql as Q
@@ -390,3 +391,102 @@ as_pixels("dither_fs", lambda fr: sequential.diffused(fr, PALETTE))
 as_pixels("dither_atkinson", lambda fr: sequential.diffused(fr, PALETTE, "atkinson"))
 as_pixels("median_cut", lambda fr: sequential.quantized(fr, 6))
 as_pixels("recipe_run", lambda fr: recipe.run(fr, recipe.EXAMPLE))
+
+
+# filters
+def _clamped(kernel: filters.Kernel, name: str) -> str:
+    """c(frame_id, x, y, p, v): the taps of a kernel with borders repeated."""
+    taps = ", ".join(f"({dx}, {dy}, {v!r}::DOUBLE)" for dx, dy, v in kernel.taps() if v)
+    return f""", {name} AS (SELECT p.frame_id, p.x, p.y, p.argb, {', '.join(f'sum(CASE WHEN n.argb = 0 THEN 0 ELSE {f("n.argb")} END * t.k) AS s{c}' for c, f in (('r', Q.r), ('g', Q.g), ('b', Q.b)))}
+ FROM px p, (VALUES {taps}) t(dx, dy, k), px n WHERE n.frame_id = p.frame_id AND n.x = least(7, greatest(0, p.x + t.dx)) AND n.y = least(7, greatest(0, p.y + t.dy)) GROUP BY ALL)"""
+
+
+def _half_up(v: str) -> str:
+    return Q.clamp(f"CAST(trunc({v} + 0.5::DOUBLE) AS BIGINT)")
+
+
+for _name in ("sharpen", "laplacian", "emboss", "prewitt_x"):
+    as_pixels(
+        f"convolve_{_name}",
+        lambda fr, k=_name: filters.convolved(fr, filters.KERNELS[k], alpha="straight"),
+        Q.PX + _clamped(filters.KERNELS[_name], "c") + f" SELECT frame_id, x, y, CASE WHEN {A} = 0 THEN 0 ELSE {Q.pack(A, *[_half_up(f's{c}') for c in 'rgb'])} END AS argb FROM c",
+    )
+_GREY = {n: Q.clamp(f"CAST(floor(0.2126::DOUBLE * {_half_up(n + '.sr')} + 0.7152::DOUBLE * {_half_up(n + '.sg')} + 0.0722::DOUBLE * {_half_up(n + '.sb')} + 0.5::DOUBLE) AS BIGINT)") for n in ("gx", "gy")}
+as_pixels(
+    "sobel",
+    filters.sobel,
+    Q.PX
+    + _clamped(filters.KERNELS["sobel_x"], "gx")
+    + _clamped(filters.KERNELS["sobel_y"], "gy")
+    + f", m AS (SELECT gx.frame_id, gx.x, gx.y, gx.argb, {_half_up(f'sqrt(({_GREY["gx"]} * {_GREY["gx"]} + {_GREY["gy"]} * {_GREY["gy"]})::DOUBLE)')} AS m FROM gx JOIN gy USING (frame_id, x, y)) SELECT frame_id, x, y, CASE WHEN {A} = 0 THEN 0 ELSE {Q.pack(A, 'm', 'm', 'm')} END AS argb FROM m",
+)
+as_pixels("gaussian3", lambda fr: filters.convolved(fr, filters.KERNELS["gaussian3"]))
+as_pixels("box_blur", filters.box_blurred)
+as_pixels("box_resample", lambda fr: filters.box_resampled(fr, 5, 3))
+_SOLID = ", ".join(f"max(CASE WHEN n.x = p.x + ({dx}) AND n.y = p.y + ({dy}) AND {Q.a('n.argb')} > 0 THEN 1 ELSE 0 END) AS b{k}" for k, (dx, dy) in enumerate(filters.BITS))
+_MASKS = Q.PX + f", nb AS (SELECT p.frame_id, p.x, p.y, p.argb, {_SOLID} FROM px p LEFT JOIN px n ON n.frame_id = p.frame_id AND abs(n.x - p.x) <= 1 AND abs(n.y - p.y) <= 1 AND (n.x <> p.x OR n.y <> p.y) GROUP BY ALL)"
+_BLOB = "b0 + b1 * b0 * b2 * 2 + b2 * 4 + b3 * b2 * b4 * 8 + b4 * 16 + b5 * b4 * b6 * 32 + b6 * 64 + b7 * b6 * b0 * 128"
+as_pixels("autotile47", filters.autotiled, _MASKS + f" SELECT frame_id, x, y, CAST(CASE WHEN {A} = 0 THEN -1 ELSE list_position({filters.BLOBS}, {_BLOB}) - 1 END AS INTEGER) AS argb FROM nb")
+as_pixels("autotile16", lambda fr: filters.autotiled(fr, edges_only=True), _MASKS + f" SELECT frame_id, x, y, CAST(CASE WHEN {A} = 0 THEN -1 ELSE b0 + b2 * 2 + b4 * 4 + b6 * 8 END AS INTEGER) AS argb FROM nb")
+as_pixels("cave_smooth", lambda fr: filters.cave_step(raster.mapped(fr, lambda p: F.when(C.alpha(p) == 0, F.lit(C.BLACK)).otherwise(F.lit(0)))), Q.around(f"CAST(CASE WHEN 8 - count(n.x) + count(n.x) FILTER ({Q.a('n.argb')} = 0) >= 5 THEN -16777216 ELSE 0 END AS INTEGER) AS argb"))
+_TINT = [v / 255.0 for v in filters.kelvin(3200.0)]
+_GAINS = [repr(v / (sum(_TINT) / 3)) + "::DOUBLE" for v in _TINT]
+as_pixels("temperature", lambda fr: filters.warmed(fr, 3200.0, 0.8), Q.mapped(f"CASE WHEN {A} = 0 THEN argb ELSE {Q.pack(A, *[Q.clamp(f'CAST(trunc({v} + ({v} * {k} - {v}) * 0.8::DOUBLE) AS BIGINT)') for v, k in zip((R, G, B), _GAINS, strict=True)])} END"))
+
+# generators
+_GRID = "SELECT CAST(0 AS BIGINT) AS frame_id, CAST(a.v AS INTEGER) AS x, CAST(b.v AS INTEGER) AS y, CAST({rule} AS INTEGER) AS argb FROM (SELECT unnest(range(0, {w})) AS v) a, (SELECT unnest(range(0, {h})) AS v) b"
+add("checker_tex", lambda s, d: S.pixels(generate.checker(s, 40, 30, 4, -1, -65536)), _GRID.format(w=40, h=30, rule="CASE WHEN (a.v // 4 + b.v // 4) % 2 = 0 THEN -1 ELSE -65536 END"))
+add("bricks_mask", lambda s, d: S.pixels(generate.bricks(s, 50, 40)), _GRID.format(w=50, h=40, rule="CASE WHEN b.v % 5 >= 4 OR (a.v + b.v // 5 % 2 * 4) % 9 >= 8 THEN -16777216 ELSE -65536 END"))
+add("iso_mask", lambda s, d: S.pixels(generate.diamond(s, 16, 8)), _GRID.format(w=16, h=8, rule="CASE WHEN abs(b.v - 4) * 8 + abs(a.v - 8) * 4 <= 32 THEN -1 ELSE 0 END"))
+
+# palettes and spans
+_PALETTE = f"(SELECT unnest(range(0, {len(PALETTE)})) AS idx, unnest({PALETTE}) AS colour)"
+
+
+def _closest(s: SparkSession, d: str) -> DataFrame:
+    """Shades of all rasters with the nearest palette entry, the first of equals;
+    the palette is of fixed size and is broadcast."""
+    shades = measures.visible(S.pixels(frames(s, d))).groupBy("argb").agg(F.count("*").alias("cnt"))
+    palette = s.createDataFrame(list(enumerate(PALETTE)), "idx int, colour int")
+    best = F.min(F.struct(C.squared_rgb(F.col("argb"), F.col("colour")).alias("distance"), "idx")).alias("m")
+    return shades.crossJoin(F.broadcast(palette)).groupBy("argb", "cnt").agg(best).select("argb", "cnt", "m.idx", "m.distance")
+
+
+_DIST = " + ".join(f"({f('argb')} - {f('colour')}) * ({f('argb')} - {f('colour')})" for f in (Q.r, Q.g, Q.b))
+add("palette_closest_rgb", _closest, Q.PX + f", t AS (SELECT argb, count(*) AS cnt FROM px WHERE {A} > 0 GROUP BY argb), k AS (SELECT argb, cnt, idx, {_DIST} AS distance FROM t, {_PALETTE}), o AS (SELECT *, row_number() OVER (PARTITION BY argb ORDER BY distance, idx) AS rn FROM k) SELECT argb, cnt, CAST(idx AS INTEGER) AS idx, CAST(distance AS INTEGER) AS distance FROM o WHERE rn = 1")
+
+
+def _contrasts(s: SparkSession, d: str) -> DataFrame:
+    """Contrast of every two entries of a palette."""
+    p = s.createDataFrame(list(enumerate(PALETTE)), "idx int, colour int")
+    a, b = p.toDF("i", "a"), p.toDF("j", "b")
+    pairs_ = a.join(F.broadcast(b), F.col("i") < F.col("j"))
+    ratio = C.contrast(F.col("a"), F.col("b"))
+    return pairs_.select("i", "j", F.round(ratio, 4).alias("ratio"), (ratio >= 4.5).alias("passes"))
+
+
+_RATIO = f"(greatest({Q.luminance('a')}, {Q.luminance('b')}) + 0.05::DOUBLE) / (least({Q.luminance('a')}, {Q.luminance('b')}) + 0.05::DOUBLE)"
+add("palette_contrast_pairs", _contrasts, f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round({_RATIO}, 4) AS ratio, {_RATIO} >= 4.5 AS passes FROM (SELECT idx AS i, colour AS a FROM {_PALETTE}), (SELECT idx AS j, colour AS b FROM {_PALETTE}) WHERE i < j")
+
+
+def _tagged(s: SparkSession, d: str) -> DataFrame:
+    """Frames of the timeline under the tags whose span holds them."""
+    spans = s.createDataFrame([("idle", 0, 9), ("walk", 5, 24), ("all", 0, 100000)], "name string, start_frame long, end_frame long")
+    own = frames(s, d).select(F.col("frame_id").alias("frame_idx"), "tag")
+    return timeline.tagged(own, spans).groupBy("name").agg(F.count("*").alias("frames"), F.countDistinct("tag").alias("tags"))
+
+
+add("tag_range_join", _tagged, "SELECT name, count(*) AS frames, count(DISTINCT label) AS tags FROM embeddings JOIN (VALUES ('idle', 0, 9), ('walk', 5, 24), ('all', 0, 100000)) t(name, a, b) ON vec_id BETWEEN a AND b GROUP BY name")
+
+
+# files
+def _round_trip(kind: str) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        back = codecs.decoded(codecs.encoded(frames(s, d), kind), "frame_id")
+        return S.pixels(back.select("frame_id", "w", "h", "pixels"))
+
+    return query
+
+
+for _kind in codecs.ENCODERS:
+    add(f"{_kind}_roundtrip", _round_trip(_kind), Q.mapped("argb"))
