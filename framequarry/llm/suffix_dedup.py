@@ -160,7 +160,7 @@ class Run:
         first, last = np.concatenate([[0], change]), np.append(change, len(own)) - 1
         at, low, high = own[first], starts[first], starts[last]
         context = K.mix(poly.of(low, high + length) ^ K.mix((at - low).astype(np.uint64)))
-        return at + base, low + base, high + base, grams[at], context
+        return at + base, low + base, high + base, K.mix(grams[at]), context  # anchors are low hashes: mixed, they fill all buckets
 
     def place(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and place in the document of anchors."""
