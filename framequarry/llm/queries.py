@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adapters, bpe, chroma, mixing, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_store, tool_calls
+from . import adapters, bpe, chroma, mixing, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_store, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rules(table(spark, sf_dir, "documents"))
+    found = quality.rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 @query
@@ -84,3 +85,7 @@ def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op2_quality_rules"] = oracle.QUALITY
+SQL["op5_substring_dedup"] = oracle.SUBSTRING
