@@ -161,3 +161,12 @@ def white_balanced(frames: DataFrame, strength: float = 1.0) -> DataFrame:
 
     joined = frames.join(gains, "frame_id", "left")
     return joined.withColumn("pixels", F.when(F.col("gr").isNull(), F.col("pixels")).otherwise(F.transform("pixels", rule))).select(*frames.columns)
+
+
+def equalized(frames: DataFrame) -> DataFrame:
+    """Luma spread by its cumulative histogram."""
+    rows = cumulative(histogram(frames).where("channel = 'luma'"))
+    spread = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("upto") - 1) / F.greatest(F.lit(1), F.col("total") - 1) * 255.0 + 0.5))).cast("int")
+    table = rows.select("frame_id", "bin", spread.alias("level")).groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "level"))).alias("m"))
+    lut = table.select("frame_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.element_at("m", v)).alias("lut"))
+    return _mapped_luma(frames, lut)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..operators import filters, log, measures, pairs, raster, sequential, timeline
-from ..sources import codecs, generate
+from ..operators import filters, log, measures, pairs, raster, regions, sequential, timeline
+from ..sources import codecs, generate, text
 from ..sources import frames as S
 from . import recipe
 from . import sql as Q
@@ -490,3 +490,29 @@ def _round_trip(kind: str) -> Query:
 
 for _kind in codecs.ENCODERS:
     add(f"{_kind}_roundtrip", _round_trip(_kind), Q.mapped("argb"))
+
+# rectangles and effects
+_SAME_GRID = Q.PX + "SELECT o.frame_id, o.x, o.y, {value} AS argb FROM px o LEFT JOIN px p ON p.frame_id = o.frame_id AND p.x = {x} AND p.y = {y}"
+_BOX = "o.x BETWEEN 1 AND 5 AND o.y BETWEEN 2 AND 6"
+as_pixels("flip_selection_h", lambda fr: regions.flipped(fr, (1, 2, 5, 5)), _SAME_GRID.format(value="p.argb", x=f"CASE WHEN {_BOX} THEN 6 - o.x ELSE o.x END", y="o.y"))
+as_pixels("flip_selection_v", lambda fr: regions.flipped(fr, (1, 2, 5, 5), vertical=True), _SAME_GRID.format(value="p.argb", x="o.x", y=f"CASE WHEN {_BOX} THEN 8 - o.y ELSE o.y END"))
+as_pixels("move_selection", lambda fr: regions.moved(fr, (1, 2, 3, 3), 2, 1), _SAME_GRID.format(value="CASE WHEN o.x BETWEEN 3 AND 5 AND o.y BETWEEN 3 AND 5 THEN p.argb WHEN o.x BETWEEN 1 AND 3 AND o.y BETWEEN 2 AND 4 THEN 0 ELSE o.argb END", x="o.x - 2", y="o.y - 1"))
+on_pairs("paste", lambda p: S.pixels(regions.pasted(p, 3, 2)), Q.PX + ", k AS (SELECT DISTINCT q.frame_id - 1 AS frame_id FROM px q) SELECT o.frame_id, o.x, o.y, coalesce(p.argb, o.argb) AS argb FROM px o JOIN k USING (frame_id) LEFT JOIN px p ON p.frame_id = o.frame_id + 1 AND p.x = o.x - 3 AND p.y = o.y - 2")
+_PLACED = Q.PX + ", pl AS (SELECT frame_id, tag, row_number() OVER (PARTITION BY tag ORDER BY frame_id) - 1 AS place FROM (SELECT DISTINCT frame_id, tag FROM px))"
+as_pixels("sway", lambda fr: regions.swayed(fr, 2, 5), _PLACED + " SELECT o.frame_id, o.x, o.y, coalesce(p.argb, 0) AS argb FROM px o JOIN pl USING (frame_id) LEFT JOIN px p ON p.frame_id = o.frame_id AND p.y = o.y AND p.x = o.x - CAST(floor(2 * sin(6.283185307179586::DOUBLE * place / 5) + 0.5::DOUBLE) AS INTEGER)")
+on_frames("shake", lambda fr: S.pixels(regions.shaken(fr).withColumn("frame_id", F.col("frame_id") * 2 + F.col("step"))), Q.PX + "SELECT o.frame_id * 2 + s.v AS frame_id, o.x, o.y, coalesce(p.argb, 0) AS argb FROM px o CROSS JOIN (VALUES (0), (1)) s(v) LEFT JOIN px p ON p.frame_id = o.frame_id AND p.y = o.y AND p.x = o.x - (CASE s.v WHEN 0 THEN 1 ELSE -1 END)")
+as_pixels("scanline", lambda fr: regions.scanned(fr, 0x40FFFFFF), _PLACED + f" SELECT px.frame_id, px.x, px.y, CASE WHEN px.y = place % 8 THEN {Q.over(str(0x40FFFFFF), 'argb', '{s}')} ELSE argb END AS argb FROM px JOIN pl USING (frame_id)")
+as_pixels(
+    "equalize",
+    measures.equalized,
+    Q.HIST
+    + f""", c AS (SELECT frame_id, bin, sum(cnt) OVER (PARTITION BY frame_id ORDER BY bin) AS upto, sum(cnt) OVER (PARTITION BY frame_id) AS total FROM hist WHERE channel = 'luma'),
+ w AS (SELECT px.frame_id, x, y, argb, {_LUT} AS now, {Q.clamp("CAST(floor((upto - 1) / greatest(1, total - 1)::DOUBLE * 255.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)")} AS want FROM px LEFT JOIN c ON c.frame_id = px.frame_id AND c.bin = {_LUT})
+ SELECT frame_id, x, y, CASE WHEN {A} = 0 OR want IS NULL OR want = now THEN argb WHEN now = 0 THEN {Q.pack(A, 'want', 'want', 'want')} ELSE {Q.pack(A, *[Q.clamp(f'CAST(floor({v} * (want / now::DOUBLE) + 0.5::DOUBLE) AS BIGINT)') for v in (R, G, B)])} END AS argb FROM w""",
+)
+on_frames("rows_text", lambda fr: text.hex_rows(S.pixels(fr)), Q.PX + f"SELECT frame_id, y, string_agg(CASE WHEN {A} = 0 THEN '.' ELSE {Q.hex_colour('argb')} END, ' ' ORDER BY x) AS text FROM px GROUP BY frame_id, y")
+add(
+    "shelf_pack",
+    lambda s, d: regions.shelved(S.table(s, d, "part").select((F.col("p_size") % 10).alias("tag"), F.col("p_partkey").alias("name"), F.col("p_size").alias("w"), (F.col("p_partkey") % 17).cast("int").alias("h")), 100),
+    "WITH b AS (SELECT p_size % 10 AS tag, p_partkey AS name, p_size AS w, CAST(p_partkey % 17 AS INTEGER) AS h FROM part), s AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY tag ORDER BY h DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT tag, name, w, h, CAST(before // 100 AS INTEGER) AS shelf, CAST(before % 100 AS INTEGER) AS x FROM s",
+)
