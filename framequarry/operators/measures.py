@@ -7,6 +7,8 @@ that a raster has.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,3 +172,41 @@ def equalized(frames: DataFrame) -> DataFrame:
     table = rows.select("frame_id", "bin", spread.alias("level")).groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "level"))).alias("m"))
     lut = table.select("frame_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.element_at("m", v)).alias("lut"))
     return _mapped_luma(frames, lut)
+
+
+def class_limits(counts: np.ndarray, levels: int) -> list[int]:
+    """Upper bins of all classes but the last that make the sum of n * mean**2
+    largest, over 256 bins, by dynamic programming."""
+    if not 2 <= levels <= 8:
+        raise ValueError("levels are 2 to 8")
+    if counts.sum() <= 1:
+        return [0] * (levels - 1)
+    n = np.concatenate([[0], np.cumsum(counts)]).astype(float)
+    s = np.concatenate([[0], np.cumsum(counts * np.arange(256))]).astype(float)
+    size = n[None, :] - n[:, None]  # [from, until)
+    score = np.where(size > 0, (s[None, :] - s[:, None]) ** 2 / np.where(size > 0, size, 1), 0.0)
+    best, cuts = score[0].copy(), []
+    best[0] = -np.inf
+    for _ in range(levels - 1):
+        total = np.where(np.arange(257)[:, None] < np.arange(257)[None, :], best[:, None] + score, -np.inf)
+        cuts.append(total.argmax(0))
+        best = total.max(0)
+    out, at = [], 256
+    for cut in reversed(cuts):
+        at = int(cut[at])
+        out.append(at - 1)
+    return sorted(out)
+
+
+def otsu_levels(hist: DataFrame, levels: int, channel: str = "luma") -> DataFrame:
+    """(frame_id, thresholds) of more than two classes; a raster's histogram has
+    256 rows at most."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(256, np.int64)
+        counts[rows["bin"]] = rows["cnt"]
+        return pd.DataFrame({"frame_id": rows["frame_id"].iloc[:1], "thresholds": [class_limits(counts, levels)]})
+
+    own = hist.where(F.col("channel") == channel)
+    kind = own.schema["frame_id"].dataType.simpleString()
+    return own.groupBy("frame_id").applyInPandas(one, f"frame_id {kind}, thresholds array<int>")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..operators import filters, log, measures, pairs, raster, regions, sequential, timeline
-from ..sources import codecs, generate, text
+from ..functions import easing
+from ..operators import filters, log, measures, pairs, raster, regions, sequential, shapes, timeline
+from ..sources import codecs, generate, noise, text
 from ..sources import frames as S
 from . import recipe
 from . import sql as Q
@@ -516,3 +517,26 @@ add(
     lambda s, d: regions.shelved(S.table(s, d, "part").select((F.col("p_size") % 10).alias("tag"), F.col("p_partkey").alias("name"), F.col("p_size").alias("w"), (F.col("p_partkey") % 17).cast("int").alias("h")), 100),
     "WITH b AS (SELECT p_size % 10 AS tag, p_partkey AS name, p_size AS w, CAST(p_partkey % 17 AS INTEGER) AS h FROM part), s AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY tag ORDER BY h DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT tag, name, w, h, CAST(before // 100 AS INTEGER) AS shelf, CAST(before % 100 AS INTEGER) AS x FROM s",
 )
+
+on_frames("otsu_multi", lambda fr: measures.otsu_levels(measures.histogram(fr), 4))
+add("value_noise", lambda s, d: S.pixels(noise.noise_frames(s, 24, 16, PALETTE, 0.2, 3)))
+_EASE_STEPS = "SELECT CAST(v AS INTEGER) AS step, v / 20.0::DOUBLE AS u FROM (SELECT unnest(range(0, 21)) AS v)"
+add(
+    "easing",
+    lambda s, d: s.range(21).select(F.col("id").cast("int").alias("step"), *[F.round(easing.eased(F.col("id") / 20.0, n), 6).alias("step_" if n == "step" else n) for n in easing.NAMES if n != "elastic_out"]),
+    f"""SELECT step, round(u, 6) AS linear, round(u * u, 6) AS ease_in, round(1 - (1 - u) * (1 - u), 6) AS ease_out, round(CASE WHEN u < 0.5 THEN 2 * u * u ELSE 1 - 2 * (1 - u) * (1 - u) END, 6) AS ease_in_out,
+ round(CASE WHEN u < 1 / 2.75::DOUBLE THEN 7.5625::DOUBLE * u * u WHEN u < 2 / 2.75::DOUBLE THEN 7.5625::DOUBLE * pow(u - 1.5::DOUBLE / 2.75, 2) + 0.75 WHEN u < 2.5::DOUBLE / 2.75 THEN 7.5625::DOUBLE * pow(u - 2.25::DOUBLE / 2.75, 2) + 0.9375 ELSE 7.5625::DOUBLE * pow(u - 2.625::DOUBLE / 2.75, 2) + 0.984375 END, 6) AS bounce_out,
+ CASE WHEN u < 0.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS step_ FROM ({_EASE_STEPS})""",
+)
+
+
+def _shapes(s: SparkSession, d: str) -> DataFrame:
+    """A cross and a box over each raster."""
+    lines = [("line", 0, 0, 7, 7, -65536), ("line", 7, 0, 0, 7, -16711936), ("rect", 2, 2, 4, 4, -16776961)]
+    table = s.createDataFrame([(k, *row) for k, row in enumerate(lines)], "ord long, kind string, a int, b int, c int, d int, argb int")
+    fr = frames(s, d)
+    each = fr.select("frame_id").crossJoin(F.broadcast(table)).select("frame_id", *table.columns)
+    return S.pixels(shapes.drawn(fr, each))
+
+
+add("draw_shapes", _shapes, Q.PX + "SELECT frame_id, x, y, CAST(CASE WHEN (x IN (2, 5) AND y BETWEEN 2 AND 5) OR (y IN (2, 5) AND x BETWEEN 2 AND 5) THEN -16776961 WHEN x + y = 7 THEN -16711936 WHEN x = y THEN -65536 ELSE argb END AS INTEGER) AS argb FROM px")
