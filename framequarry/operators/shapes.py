@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,35 @@ def circle(cx: int, cy: int, r: int, filled: bool) -> list[tuple[int, int]]:
     return [(i, j) for j, own in rows.items() for i in range(min(own), max(own) + 1)]
 
 
+def closed_path(corners: list[tuple[float, float]]) -> list[tuple[int, int]]:
+    """Lines from corner to corner and back to the first, each point once."""
+    own = [(int(np.floor(x + 0.5)), int(np.floor(y + 0.5))) for x, y in corners]
+    return list(dict.fromkeys(p for a, b in zip(own, own[1:] + own[:1], strict=True) for p in line(*a, *b)))
+
+
+def polygon(cx: int, cy: int, radius: int, sides: int) -> list[tuple[int, int]]:
+    if not 3 <= sides <= 4096 or radius < 0:
+        raise ValueError("a polygon has 3 to 4096 sides and a radius of 0 or more")
+    return closed_path([(cx + radius * np.cos(2 * np.pi * k / sides), cy + radius * np.sin(2 * np.pi * k / sides)) for k in range(sides)])
+
+
+def star(cx: int, cy: int, outer: int, inner: int, tips: int = 5) -> list[tuple[int, int]]:
+    if not 2 <= tips <= 4096 or min(outer, inner) < 0:
+        raise ValueError("a star has 2 to 4096 tips and radii of 0 or more")
+    radii = [outer, inner] * tips
+    return closed_path([(cx + r * np.cos(np.pi * k / tips), cy + r * np.sin(np.pi * k / tips)) for k, r in enumerate(radii)])
+
+
+def curves(table: DataFrame, steps: int = 32) -> DataFrame:
+    """(frame_id, ord, x, y, argb): samples of quadratic curves x0, y0 to x2, y2
+    with the control point x1, y1; each point once, negative ones dropped."""
+    t = F.col("k") / steps
+    u = 1.0 - t
+    at = [F.floor(u * u * F.col(f"{c}0") + 2.0 * u * t * F.col(f"{c}1") + t * t * F.col(f"{c}2") + 0.5).cast("int").alias(c) for c in "xy"]
+    sampled = table.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).select("frame_id", "ord", *at, "argb")
+    return sampled.where("x >= 0 and y >= 0").distinct()
+
+
 def _points(kind: str, a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
     if kind == "line":
         return line(a, b, c, d)
@@ -69,13 +99,18 @@ def _points(kind: str, a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
         return rect(a, b, c, d, kind == "rect_filled")
     if kind in ("circle", "circle_filled"):
         return circle(a, b, c, kind == "circle_filled")
+    if kind == "polygon":
+        return polygon(a, b, c, d)
+    if kind == "star":
+        return star(a, b, c, d)
     raise ValueError(f"no shape {kind!r}")
 
 
 def points(shapes: DataFrame) -> DataFrame:
     """(frame_id, ord, x, y, argb) of a table of shapes: line a, b to c, d; rect
     and rect_filled at a, b of the size c, d; circle and circle_filled round a, b
-    of the radius c. Points of negative coordinates are dropped."""
+    of the radius c; polygon round a, b of the radius c with d sides; star of five
+    tips round a, b of the radii c and d. Points of negative coordinates are dropped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

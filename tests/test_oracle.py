@@ -8,7 +8,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from framequarry.plans import catalogue
+from framequarry.plans import catalogue, further
+
+assert further  # adds its queries to the catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
