@@ -342,17 +342,20 @@ def _encoded(path: str):
                 offsets = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(local.astype(np.int32)))
                 out = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 counts = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(count.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), out, offsets, counts], ["__id", "ids", "offsets", "counts"])
+                kept = [part.column(i) for i in range(2, part.num_columns)]
+                yield pa.RecordBatch.from_arrays([part.column(0), out, offsets, counts, *kept], ["__id", "ids", "offsets", "counts", *part.schema.names[2:]])
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, ids, offsets, counts): ids of the whole text; the byte at which each
-    slice begins and how many ids it has, from which any id's bytes are found."""
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    slice begins and how many ids it has, from which any id's bytes are found.
+    The columns keep of docs come after them."""
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep)
     kind = base.schema["__id"].dataType.simpleString()
-    return base.mapInArrow(_encoded(path), f"__id {kind}, ids array<int>, offsets array<int>, counts array<int>").withColumnRenamed("__id", id_col)
+    more = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in keep)
+    return base.mapInArrow(_encoded(path), f"__id {kind}, ids array<int>, offsets array<int>, counts array<int>{more}").withColumnRenamed("__id", id_col)
 
 
 def _decoded(path: str):

@@ -153,7 +153,8 @@ def mixed(
 
 def in_order(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     """The columns of docs, with rows dealt and sorted in the order of the
-    mixture, so that files written from it are read in that order."""
+    mixture, so that each file written from it is in that order; readers may take
+    the files in any order."""
     found = mixed(docs, **options)
     dealt = found.repartitionByRange(partitions, "slot", "place") if partitions else found.repartitionByRange("slot", "place")
     return dealt.sortWithinPartitions("slot", "place").select(*docs.columns)
