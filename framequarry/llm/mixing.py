@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows form blocks; a slot takes one block. With a weight of c slots
-in a period of d, block j of a source is released at slot floor(j d / c) and due
-by slot ceil((j + 1) d / c); taking the earliest deadline of what is released
-meets every deadline, so at any slot each source is less than one block off its
-target. The schedule repeats after d slots, and that one period (its length is a
-parameter) is all that is worked out on the driver; which slot a block gets is
-then arithmetic on its rank, in parallel over all rows.
+Each source's rows form blocks; a slot takes one block. With a share of w of all
+weights, block j of a source is released at slot floor(j / w) and due by slot
+ceil((j + 1) / w); taking the earliest deadline of what is released meets every
+deadline, so at any slot each source is less than one block off its target. The
+weights are taken as exact ratios, so nothing drifts however long the table is.
+The driver works out the slots of all blocks (12 bytes a block, no rows); they
+are handed out in rows of 1024 blocks.
 
-When a source is used up, the weights of the others are scaled up and a new
-period begins (a phase): every row is placed, none is repeated.
+When a source is used up, the weights of the others are scaled up and the
+schedule begins anew (a phase): every row is placed, none is repeated.
 
 Ranks come from two levels, so that a source with a third of all rows is spread
 over as many tasks as the rest: rows are dealt by a hash of the id into buckets
@@ -24,12 +24,19 @@ rule.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NONE = "\x00none"
+_CHUNK = 1024  # blocks in a row of the plan
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -50,54 +57,55 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return slots
 
 
-def one_period(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of a period, by earliest deadline first."""
-    period = sum(slots.values())
-
-    def window(s: str, j: int) -> tuple[int, int]:
-        c = slots[s]
-        return j * period // c, -(-(j + 1) * period // c)
-
-    waiting = [(0, s, 0) for s in slots]
+def earliest_deadlines(weights: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end, by earliest deadline first. Windows
+    are exact: block j of a source with weight c in a sum of d is released at
+    slot floor(j d / c) and due by ceil((j + 1) d / c)."""
+    total = sum(weights.values())
+    waiting = [(0, s, 0) for s in weights]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(s, j)[1], s, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
         due, s, j = heapq.heappop(ready)
         assert due > t, "a deadline was missed"
-        out.append(s)
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, (window(s, j + 1)[0], s, j + 1))
-    return out
+        yield s
+        heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
+        t += 1
+
+
+def one_period(slots: dict[str, int]) -> list[str]:
+    """The source of each slot of a period, by earliest deadline first."""
+    return list(islice(earliest_deadlines(slots), sum(slots.values())))
+
+
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in the very proportions of weights."""
+    ratios = {s: Fraction(w) for s, w in weights.items()}
+    common = lcm(*(r.denominator for r in ratios.values()))
+    return {s: int(r * common) for s, r in ratios.items()}
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """For each phase and source: first block and number of blocks, first slot,
-    slots of the period that are the source's own."""
+def scheduled(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, tuple[array, array]]:
+    """For each source the slots of its blocks, and their phases."""
     left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, slot, number = [], 0, 0
+    out = {s: (array("q"), array("i")) for s in left}
+    whole = exact({s: weights[s] for s in left}) if left else {}
+    slot = phase = 0
     while left:
-        slots = shares({s: weights[s] for s in left}, max(period, len(left)))
-        order = one_period(slots)
-        own = {s: [t for t, x in enumerate(order) if x == s] for s in left}
-        length = len(order)
-        # a source runs out in its last block: the first to do so ends the phase
-        ends = {s: (n - 1) // slots[s] * length + own[s][(n - 1) % slots[s]] + 1 for s, n in left.items()}
-        end = min(ends.values())
-        for s in list(left):
-            took = end // length * slots[s] + sum(t < end % length for t in own[s])
-            if took:
-                out.append({"source": s, "phase": number, "first_block": done[s], "blocks": took, "first_slot": slot, "period": length, "own": own[s]})
-            done[s] += took
-            left[s] -= took
+        for s in earliest_deadlines({s: whole[s] for s in left}):
+            slots, numbers = out[s]
+            slots.append(slot)
+            numbers.append(phase)
+            slot += 1
+            left[s] -= 1
             if not left[s]:
                 del left[s]
-        slot += end
-        number += 1
+                break
+        phase += 1
     return out
 
 
@@ -123,32 +131,37 @@ def mixed(
     id_col: str = "doc_id",
     source_col: str = "source",
     bucket_rows: int = 4000,
-    max_sources: int = 500,
+    max_sources: int | None = None,
 ) -> DataFrame:
     """docs with the columns block (of its source), phase, slot and place (in
     the block); order by slot and place for the mixture.
 
     weights: by source; a source that is not named, or all where weights is
     None, gets its number of rows to the power exponent (0: equal weights,
-    1: in proportion). There may be max_sources sources at most."""
+    1: in proportion). With max_sources, more sources than that are an error.
+    period has no effect: the schedule is exact over all blocks."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(_NONE))
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()}
-    if len(sizes) > max_sources:
+    counted = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"))
+    sizes = {r["s"]: r["n"] for r in (counted if max_sources is None else counted.limit(max_sources + 1)).collect()}
+    if max_sources is not None and len(sizes) > max_sources:
         raise ValueError(f"there are more than {max_sources} sources")
     target = {s: float((weights or {}).get(s, n**exponent)) for s, n in sizes.items()}
     if any(w <= 0 for w in target.values()):
         raise ValueError("weights are above zero")
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, target, period)
-    kind = "source string, phase int, first_block long, blocks long, first_slot long, period int, own array<int>"
-    table = docs.sparkSession.createDataFrame([tuple(p.values()) for p in plan], kind)
+    found = scheduled({s: -(-n // block) for s, n in sizes.items()}, target)
+    plan = [(s, i // _CHUNK, slots[i : i + _CHUNK], numbers[i : i + _CHUNK]) for s, (slots, numbers) in found.items() for i in range(0, len(slots), _CHUNK)]
+    columns = [pa.array([p[0] for p in plan], pa.string()), pa.array([p[1] for p in plan], pa.int64())]
+    for k, kind in ((2, pa.int64()), (3, pa.int32())):
+        ends = np.cumsum([0] + [len(p[k]) for p in plan]).astype(np.int32)
+        flat = np.concatenate([np.asarray(p[k]) for p in plan]) if plan else np.empty(0)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype()))))
+    table = docs.sparkSession.createDataFrame(pa.table(columns, ["__name", "__chunk", "__slots", "__phases"]))
     rows = ranked(docs, source, id_col, sum(sizes.values()), bucket_rows).withColumn("block", F.floor(F.col("__rank") / block))
-    table = table.select(*[F.col(c).alias(f"__{c}" if c != "source" else "__name") for c in table.columns])
-    on = (F.col("__source") == F.col("__name")) & (F.col("block") >= F.col("__first_block")) & (F.col("block") < F.col("__first_block") + F.col("__blocks"))
-    placed = rows.join(F.broadcast(table), on)  # 2 * max_sources ** 2 rows at most
-    j = F.col("block") - F.col("__first_block")
-    n = F.size("__own")
-    slot = F.col("__first_slot") + F.expr("(block - __first_block) div size(__own)") * F.col("__period") + F.get("__own", (j % n).cast("int"))
-    return placed.select(*[F.col(c) for c in docs.columns], "block", F.col("__phase").alias("phase"), slot.cast("long").alias("slot"), (F.col("__rank") % block).cast("int").alias("place"))
+    on = (F.col("__source") == F.col("__name")) & (F.floor(F.col("block") / _CHUNK) == F.col("__chunk"))
+    placed = rows.join(F.broadcast(table), on)  # 12 bytes a block
+    at = (F.col("block") % _CHUNK).cast("int")
+    phase, slot = F.get("__phases", at), F.get("__slots", at)
+    return placed.select(*[F.col(c) for c in docs.columns], "block", phase.alias("phase"), slot.alias("slot"), (F.col("__rank") % block).cast("int").alias("place"))
 
 
 def in_order(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
