@@ -12,13 +12,16 @@ When a source is used up, the weights of the others are scaled up and the
 schedule begins anew (a phase): every row is placed, none is repeated.
 
 Ranks come from two levels, so that a source with a third of all rows is spread
-over as many tasks as the rest: rows are dealt by a hash of the id into buckets
-of some `bucket_rows` rows, ranked there, and moved up by the rows of the
-source's earlier buckets. That also shuffles each source's rows.
+over as many tasks as the rest: rows are dealt by a hash of the whole row into
+buckets of some `bucket_rows` rows of their source, ranked there, and moved up by
+the rows of the source's earlier buckets. That also shuffles each source's rows.
 
-Nulls: rows without a source form a source of their own; rows without an id are
-ranked together, last in their bucket. Ties of rank (equal ids) are broken by no
-rule.
+The driver holds 12 bytes a block and `most_blocks` blocks at most: on tables
+with more, blocks get longer, and the bound of one block holds for those.
+
+Nulls: rows without a source form a source of their own. Ids may be null or
+repeat: rows are ranked by the hash of all their columns, then by the id; rows
+that still tie are equal in every column that can be hashed.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import islice
 from math import lcm
 
 import numpy as np
@@ -35,28 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NONE = "\x00none"
 _CHUNK = 1024  # blocks in a row of the plan
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of each source in a period: at least one, in all exactly period."""
-    if len(weights) > period:
-        raise ValueError("the period has fewer slots than there are sources")
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (slots[s] - exact[s], s))
-    i = 0
-    while sum(slots.values()) < period:
-        slots[order[i % len(order)]] += 1
-        i += 1
-    while sum(slots.values()) > period:
-        most = max(slots, key=lambda s: (slots[s] - exact[s] if slots[s] > 1 else -1.0, slots[s], s))
-        slots[most] -= 1
-    return slots
-
-
 def earliest_deadlines(weights: dict[str, int]) -> Iterator[str]:
     """The source of each slot, without end, by earliest deadline first. Windows
     are exact: block j of a source with weight c in a sum of d is released at
@@ -77,11 +60,6 @@ def earliest_deadlines(weights: dict[str, int]) -> Iterator[str]:
         t += 1
 
 
-def one_period(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of a period, by earliest deadline first."""
-    return list(islice(earliest_deadlines(slots), sum(slots.values())))
-
-
 def exact(weights: dict[str, float]) -> dict[str, int]:
     """Integers in the very proportions of weights."""
     ratios = {s: Fraction(w) for s, w in weights.items()}
@@ -109,45 +87,37 @@ def scheduled(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, tu
     return out
 
 
-def ranked(rows: DataFrame, source: Column, id_col: str, total: int, bucket_rows: int) -> DataFrame:
+def _key(source: Column) -> Column:
+    """A source as a string; null, which no string stands for, as the empty one."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def ranked(rows: DataFrame, source_col: str, id_col: str, sizes: dict[str, int], bucket_rows: int) -> DataFrame:
     """rows with `__source` and `__rank` (from 0 within the source)."""
-    buckets = max(1, total // bucket_rows)
-    h = F.xxhash64(id_col)
-    dealt = rows.select("*", source.alias("__source"), F.pmod(h, F.lit(buckets)).alias("__bucket"), h.alias("__h"))
-    sizes = dealt.groupBy("__source", "__bucket").count()
+    spark = rows.sparkSession
+    many = spark.createDataFrame(pa.table([pa.array(list(sizes), pa.string()), pa.array([max(1, n // bucket_rows) for n in sizes.values()], pa.int64())], ["__source", "__buckets"]))
+    hashed = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
+    dealt = rows.select("*", _key(F.col(f"`{source_col}`")).alias("__source"), h.alias("__h")).join(F.broadcast(many), "__source")  # a row a source, as on the driver
+    dealt = dealt.withColumn("__bucket", F.pmod("__h", "__buckets")).drop("__buckets")
+    counted = dealt.groupBy("__source", "__bucket").count()
     before = F.sum("count").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("__source", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy(F.col(id_col).isNull(), "__h", id_col)) - 1
-    found = dealt.withColumn("__place", place).join(sizes, ["__source", "__bucket"])
+    counted = counted.select("__source", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__h", F.col(f"`{id_col}`"))) - 1
+    found = dealt.withColumn("__place", place).join(counted, ["__source", "__bucket"])
     return found.withColumn("__rank", F.col("__place") + F.col("__before")).drop("__bucket", "__h", "__place", "__before")
 
 
-def mixed(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    exponent: float = 0.5,
-    block: int = 16,
-    period: int = 1000,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    bucket_rows: int = 4000,
-    max_sources: int | None = None,
-) -> DataFrame:
-    """docs with the columns block (of its source), phase, slot and place (in
-    the block); order by slot and place for the mixture.
-
-    weights: by source; a source that is not named, or all where weights is
-    None, gets its number of rows to the power exponent (0: equal weights,
-    1: in proportion). With max_sources, more sources than that are an error.
-    period has no effect: the schedule is exact over all blocks."""
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(_NONE))
-    counted = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"))
+def _placed(docs: DataFrame, weights: dict[str, float] | None, exponent: float, block: int, id_col: str, source_col: str, bucket_rows: int, max_sources: int | None, most_blocks: int) -> DataFrame:
+    """docs with __block, __phase, __slot and __place."""
+    counted = docs.groupBy(_key(F.col(f"`{source_col}`")).alias("s")).agg(F.count("*").alias("n"))
     sizes = {r["s"]: r["n"] for r in (counted if max_sources is None else counted.limit(max_sources + 1)).collect()}
     if max_sources is not None and len(sizes) > max_sources:
         raise ValueError(f"there are more than {max_sources} sources")
-    target = {s: float((weights or {}).get(s, n**exponent)) for s, n in sizes.items()}
+    target = {s: float((weights or {}).get(s[1:] if s else None, n**exponent)) for s, n in sizes.items()}
     if any(w <= 0 for w in target.values()):
         raise ValueError("weights are above zero")
+    block = max(block, -(-sum(sizes.values()) // most_blocks))
     found = scheduled({s: -(-n // block) for s, n in sizes.items()}, target)
     plan = [(s, i // _CHUNK, slots[i : i + _CHUNK], numbers[i : i + _CHUNK]) for s, (slots, numbers) in found.items() for i in range(0, len(slots), _CHUNK)]
     columns = [pa.array([p[0] for p in plan], pa.string()), pa.array([p[1] for p in plan], pa.int64())]
@@ -156,28 +126,56 @@ def mixed(
         flat = np.concatenate([np.asarray(p[k]) for p in plan]) if plan else np.empty(0)
         columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype()))))
     table = docs.sparkSession.createDataFrame(pa.table(columns, ["__name", "__chunk", "__slots", "__phases"]))
-    rows = ranked(docs, source, id_col, sum(sizes.values()), bucket_rows).withColumn("block", F.floor(F.col("__rank") / block))
-    on = (F.col("__source") == F.col("__name")) & (F.floor(F.col("block") / _CHUNK) == F.col("__chunk"))
-    placed = rows.join(F.broadcast(table), on)  # 12 bytes a block
-    at = (F.col("block") % _CHUNK).cast("int")
+    rows = ranked(docs, source_col, id_col, sizes, bucket_rows).withColumn("__block", F.floor(F.col("__rank") / block))
+    on = (F.col("__source") == F.col("__name")) & (F.floor(F.col("__block") / _CHUNK) == F.col("__chunk"))
+    placed = rows.join(F.broadcast(table), on)  # 12 bytes a block, most_blocks of them
+    at = (F.col("__block") % _CHUNK).cast("int")
     phase, slot = F.get("__phases", at), F.get("__slots", at)
-    return placed.select(*[F.col(c) for c in docs.columns], "block", phase.alias("phase"), slot.alias("slot"), (F.col("__rank") % block).cast("int").alias("place"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return placed.select(*own, "__block", phase.alias("__phase"), slot.alias("__slot"), (F.col("__rank") % block).cast("int").alias("__place"))
+
+
+def mixed(
+    docs: DataFrame,
+    weights: dict[str | None, float] | None = None,
+    exponent: float = 0.5,
+    block: int = 16,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    bucket_rows: int = 4000,
+    max_sources: int | None = None,
+    most_blocks: int = 1 << 20,
+) -> DataFrame:
+    """docs with the columns block (of its source), phase, slot and place (in
+    the block); order by slot and place for the mixture. Columns of docs with one
+    of these names are replaced.
+
+    weights: by source (None: rows without one); a source that is not named, or
+    all where weights is None, gets its number of rows to the power exponent (0:
+    equal weights, 1: in proportion). With max_sources, more sources than that
+    are an error."""
+    found = _placed(docs, weights, exponent, block, id_col, source_col, bucket_rows, max_sources, most_blocks)
+    made = ("block", "phase", "slot", "place")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], *[F.col(f"__{c}").alias(c) for c in made])
 
 
 def in_order(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     """The columns of docs, with rows dealt and sorted in the order of the
     mixture, so that each file written from it is in that order; readers may take
-    the files in any order."""
-    found = mixed(docs, **options)
-    dealt = found.repartitionByRange(partitions, "slot", "place") if partitions else found.repartitionByRange("slot", "place")
-    return dealt.sortWithinPartitions("slot", "place").select(*docs.columns)
-
-
-def deviation(order: list[str], slots: dict[str, int]) -> Fraction:
-    """The largest distance, in blocks, of a source from its target at any slot
-    of a schedule."""
-    period, seen, worst = sum(slots.values()), dict.fromkeys(slots, 0), Fraction(0)
+    the files in any order. options: those of `mixed`."""
+    defaults = {"weights": None, "exponent": 0.5, "block": 16, "id_col": "doc_id", "source_col": "source", "bucket_rows": 4000, "max_sources": None, "most_blocks": 1 << 20}
+    found = _placed(docs, **(defaults | options))
+    order = ("__slot", "__place")
+    dealt = found.repartitionByRange(partitions, *order) if partitions else found.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def deviation(order: list[str], weights: dict[str, float]) -> Fraction:
+    """The largest distance, in blocks, of a source from its exact weight at any
+    slot of a schedule."""
+    total = sum(map(Fraction, weights.values()))
+    share, seen, worst = {s: Fraction(w) / total for s, w in weights.items()}, dict.fromkeys(weights, 0), Fraction(0)
     for t, s in enumerate(order, 1):
         seen[s] += 1
-        worst = max(worst, *(abs(Fraction(slots[x] * t, period) - seen[x]) for x in slots))
+        worst = max(worst, *(abs(share[x] * t - seen[x]) for x in weights))
     return worst

@@ -76,10 +76,12 @@ def repeated_words(words: Column, size: int = 5) -> Column:
     return F.when(F.size(words) > size, let(hashes, cover)).otherwise(F.lit(0).cast("long"))
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, lang and all counts of each text."""
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+    """id, lang and all counts of each text; if whole, also the row itself, as a
+    struct `row` of its columns in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("t"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("t"), *[row.alias("row")] * whole)
     t = F.col("t")
     own = [w for words in COMMON.values() for w in words]
 
@@ -102,8 +104,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     words = F.array_remove(F.split(t, f"{SPACE}+"), "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]"))
     out = base.select(
-        "id",
-        "lang",
+        *[c for c in base.columns if c != "t"],
         F.length(t).cast("long").alias("n_chars"),
         *[F.regexp_count(t, F.lit(p)).cast("long").alias(c) for c, p in CLASSES.items()],
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -135,6 +136,11 @@ def rules(
     """One row per row of docs: id, base counts, base_failed, class_distance and
     word_distance (null where not judged), kept."""
     found = stored(counts(docs, id_col, text_col, lang_col), "quality")
+    return _judged(found, min_words, max_class_distance, max_word_distance, []).withColumnRenamed("id", id_col)
+
+
+def _judged(found: DataFrame, min_words: int, max_class_distance: float, max_word_distance: float, along: list[str]) -> DataFrame:
+    """The verdicts on stored counts, with some columns of theirs."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     found = found.withColumn("base_failed", base_failed)
     known = [F.col(c) for c in CLASSES]
@@ -155,7 +161,8 @@ def rules(
     judged = judged.withColumn("word_distance", F.when(long_enough, _distance(shares(F.array(*words)), F.col("ref_word"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     return judged.select(
-        F.col("id").alias(id_col),
+        "id",
+        *along,
         "n_words",
         (F.col("n_chars") - F.col("space")).alias("word_chars"),
         "n_symbols",
@@ -168,7 +175,17 @@ def rules(
     )
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are kept. Rows whose id is null can't be told apart and go."""
-    kept = rules(docs, id_col, text_col, lang_col).where("kept").select(id_col)
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+def accepted(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    min_words: int = 50,
+    max_class_distance: float = 0.27,
+    max_word_distance: float = 0.4,
+) -> DataFrame:
+    """The rows of docs that are kept. Rows are judged one by one, whatever their
+    ids: they are stored with their counts, so text isn't shuffled."""
+    found = stored(counts(docs, id_col, text_col, lang_col, whole=True), "quality")
+    kept = _judged(found, min_words, max_class_distance, max_word_distance, ["row"]).where("kept")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

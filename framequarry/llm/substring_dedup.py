@@ -19,10 +19,10 @@ equal windows or anchors ever meets in one task: the only joins are on anchors
 (a skewed side can be split) and on ids.
 
 Nulls: a null text has no words; rows with a null id are kept, but neither
-match nor lose words. Texts of fewer words than a window stay whole. Repeated
-rows with one id count as one document each, of the same rank: neither is
-earlier, so within equal ids the order is undefined; ids are expected unique.
-Extra columns pass through `deduplicated`.
+match nor lose words. Texts of fewer words than a window stay whole. Of rows
+that share an id, the one whose text has the lesser 64-bit hash is earlier; rows
+that share id and text are one document, and each of them gets its result. Extra
+columns pass through `deduplicated`.
 """
 
 from __future__ import annotations
@@ -37,10 +37,16 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import stored
 
-_ID, _TEXT = "__id", "__text"
+_ID, _TWIN, _TEXT = "__id", "__twin", "__text"
 
 
-def _anchors(window: int, gram: int):
+def _named(part: pa.RecordBatch, keys: list[str], rows: np.ndarray) -> list[pa.Array]:
+    """The key columns of some rows of a batch."""
+    at = pa.array(rows)
+    return [part.column(part.schema.get_field_index(k)).take(at) for k in keys]
+
+
+def _anchors(window: int, gram: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in K.pieces(batch, _TEXT):
@@ -51,8 +57,8 @@ def _anchors(window: int, gram: int):
                 whole = words.text[window - 1 :] == words.text[: len(words) - window + 1]
                 at = K.winnowed(grams, window - gram + 1, whole)
                 text = words.text[at]
-                ids = part.column(0).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), ids, pa.array((at - words.first[text]).astype(np.int32))], ["h", _ID, "at"])
+                place = pa.array((at - words.first[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), *_named(part, keys, text), place], ["h", *keys, "at"])
 
     return run
 
@@ -76,7 +82,7 @@ def _round(words: K.Words, anchors: np.ndarray, rows: np.ndarray, window: int, g
     return np.flatnonzero(np.cumsum(steps[:-1]) > 0)
 
 
-def _windows(window: int, gram: int):
+def _windows(window: int, gram: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in K.pieces(batch, _TEXT):
@@ -90,7 +96,8 @@ def _windows(window: int, gram: int):
                 _, keep = np.unique(K.mix(h + K.mix(text.astype(np.uint64))), return_index=True)
                 keep.sort()
                 starts, h, text = starts[keep], h[keep], text[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(text)), pa.array((starts - words.first[text]).astype(np.int32))], ["h", _ID, "at"])
+                place = pa.array((starts - words.first[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *_named(part, keys, text), place], ["h", *keys, "at"])
 
     return run
 
@@ -120,7 +127,7 @@ def _spans(window: int, gram: int, texts: bool, carried: bool):
                     pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)),
                     pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], ["begin", "end"]),
                 )
-                out = [part.column(0), *[part.column(part.schema.get_field_index("__row"))] * carried, pa.array(words.count.astype(np.int64)), pa.array((lost[words.first[1:]] - lost[words.first[:-1]]).astype(np.int64)), spans]
+                out = [part.column(part.schema.get_field_index(_ID)), *[part.column(part.schema.get_field_index("__row"))] * carried, pa.array(words.count.astype(np.int64)), pa.array((lost[words.first[1:]] - lost[words.first[:-1]]).astype(np.int64)), spans]
                 if texts:
                     stay = ~gone
                     raw, kept = data.tobytes(), []
@@ -143,22 +150,36 @@ def _found(base: DataFrame, window: int, gram: int, texts: bool) -> DataFrame:
         raise ValueError("gram lies between 1 and window")
     kinds = dict(base.dtypes)
     kind, carried = kinds[_ID], "__row" in kinds
-    row = f"h long, {_ID} {kind}, at int"
-    known = base.select(_ID, _TEXT).where(F.col(_ID).isNotNull() & F.col(_TEXT).isNotNull())
-    anchors = known.mapInArrow(_anchors(window, gram), row)  # worked out twice: the table would be larger than the work
+    known = base.where(F.col(_ID).isNotNull())
+    keys = [_ID]
+    if known.groupBy(_ID).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # ids alone don't tell rows apart
+        base = base.withColumn(_TWIN, F.xxhash64(F.coalesce(_TEXT, F.lit(""))))
+        known, keys = base.where(F.col(_ID).isNotNull()), [_ID, _TWIN]
+    row = ", ".join(["h long", f"{_ID} {kind}", *[f"{_TWIN} long"] * (len(keys) - 1), "at int"])
+    some = known.select(*keys, _TEXT).where(F.col(_TEXT).isNotNull())
+    if len(keys) > 1:
+        some = some.dropDuplicates(keys)
+    anchors = some.mapInArrow(_anchors(window, gram, keys), row)  # worked out twice: the table would be larger than the work
     repeated = stored(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    places = anchors.join(repeated.hint("shuffle_hash"), "h").groupBy(_ID).agg(F.sort_array(F.collect_list("at")).alias("anchors"))
+    places = anchors.join(repeated.hint("shuffle_hash"), "h").groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("anchors"))
     places = stored(places, "places")
-    text = base.repartition(_ID)
+    text = known.repartition(*keys)
     # all columns go along, so that both uses of the text read one shuffle
-    around = text.join(places.hint("shuffle_hash"), _ID).select(*base.columns, "anchors")
-    first = around.mapInArrow(_windows(window, gram), row).groupBy("h").agg(F.min(_ID).alias("first_id"), F.min_by("at", _ID).alias("at"))
-    firsts = first.groupBy(F.col("first_id").alias(_ID)).agg(F.collect_list("at").alias("firsts"))
-    marks = places.join(firsts, _ID, "left")
+    around = text.join(places.hint("shuffle_hash"), keys).select(*base.columns, "anchors")
+    windows = around.mapInArrow(_windows(window, gram, keys), row).groupBy("h")
+    if len(keys) == 1:
+        first = windows.agg(F.min(_ID).alias(_ID), F.min_by("at", _ID).alias("at"))
+    else:
+        first = windows.agg(F.min(F.struct(*keys, "at")).alias("m")).select("m.*")
+    firsts = first.groupBy(*keys).agg(F.collect_list("at").alias("firsts"))
+    marks = places.join(firsts, keys, "left")
     extra = f"__row {kinds['__row']}, " if carried else ""
     out = f"{_ID} {kind}, {extra}n_words long, n_removed long, spans array<struct<begin:int,end:int>>" + ", kept string" * texts
-    whole = text.join(marks.hint("shuffle_hash"), _ID, "left").select(*base.columns, "anchors", "firsts")
-    return whole.mapInArrow(_spans(window, gram, texts, carried), out)
+    whole = text.join(marks.hint("shuffle_hash"), keys, "left").select(*base.columns, "anchors", "firsts")
+    nothing = F.lit(None).cast("array<int>")
+    unnamed = base.where(F.col(_ID).isNull()).select("*", nothing.alias("anchors"), nothing.alias("firsts"))
+    return whole.union(unnamed).mapInArrow(_spans(window, gram, texts, carried), out)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 5, texts: bool = True) -> DataFrame:

@@ -8,6 +8,8 @@ import hashlib
 import random
 import zlib
 from fractions import Fraction
+from itertools import count, islice
+from math import ceil, floor
 
 import numpy as np
 import public_tokenizers
@@ -233,14 +235,40 @@ def test_perfect_hash():
 
 
 def test_schedule():
-    for weights, period in (({"a": 1, "b": 1}, 10), ({"a": 5, "b": 3, "c": 2}, 10), ({"a": 1, "b": 1, "c": 1}, 1000), ({f"s{i}": i + 1 for i in range(20)}, 997)):
-        slots = mixing.shares(weights, period)
-        assert sum(slots.values()) == period and min(slots.values()) >= 1
-        assert mixing.deviation(mixing.one_period(slots), slots) < Fraction(1)
+    for weights in ({"a": 1.0, "b": 2.0}, {"a": 5.0, "b": 3.0, "c": 2.0}, {"a": 1.0, "b": 1e-6}, {f"s{i}": (i + 1) ** 0.5 for i in range(20)}):
+        order = list(islice(mixing.earliest_deadlines(mixing.exact(weights)), 20_000))
+        assert mixing.deviation(order, weights) < Fraction(1)
+
+
+def plain_schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[str]:
+    """Slot by slot: of the released blocks the one due first, phase by phase."""
+    left, order = {s: n for s, n in blocks.items() if n}, []
+    while left:
+        total, done = sum(Fraction(weights[s]) for s in left), dict.fromkeys(left, 0)
+        share = {s: Fraction(weights[s]) / total for s in left}
+        for t in count():
+            due = [(ceil((done[s] + 1) / share[s]), s) for s in left if floor(done[s] / share[s]) <= t]
+            s = min(due)[1]
+            order.append(s)
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+    return order
+
+
+def test_schedule_equals_the_plain_one():
+    rng = random.Random(11)
+    for _ in range(30):
+        weights = {f"s{i}": rng.choice([1.0, 2.0, 0.3, rng.random() + 0.01]) for i in range(rng.randint(1, 7))}
+        blocks = {s: rng.randint(0, 40) for s in weights}
+        at = {t: s for s, (slots, _) in mixing.scheduled(blocks, weights).items() for t in slots}
+        assert [at[t] for t in range(len(at))] == plain_schedule(blocks, weights)
 
 
 def test_mixing(docs, empty):
-    out = mixing.mixed(docs, block=2, period=50, bucket_rows=10).collect()
+    out = mixing.mixed(docs, block=2, bucket_rows=10).collect()
     assert sorted(r.doc_id for r in out) == sorted(corpus())
     assert len({(r.slot, r.place) for r in out}) == len(out)
     slots = sorted({(r.slot, r.source, r.block) for r in out}, key=lambda x: x[0])
@@ -252,6 +280,23 @@ def test_mixing(docs, empty):
         mixing.mixed(docs, max_sources=1)
     ordered = mixing.in_order(docs, block=2)
     assert ordered.columns == docs.columns and ordered.count() == docs.count()
+    longer = mixing.mixed(docs, block=2, most_blocks=9).agg(F.countDistinct("slot"), F.max("place")).first()
+    assert longer[0] <= 9 + 3 and longer[1] == -(-len(corpus()) // 9) - 1
+
+
+def test_mixing_with_clashing_names_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 else 7, ["a", "\x00none", None, ""][i % 4], i, 5, 6, 7, 8, "z") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, own long, slot int, place int, block int, phase int, `a.b` string").repartition(3)
+    out = mixing.mixed(docs, block=4, bucket_rows=8)
+    assert sorted(out.columns) == sorted(docs.columns)
+    got = out.collect()
+    assert sorted(r.own for r in got) == list(range(200))
+    assert len({(r.slot, r.place) for r in got}) == 200
+    assert all(len({r.source for r in got if r.slot == t}) == 1 for t in {r.slot for r in got})
+    again = {(r.own, r.slot, r.place) for r in mixing.mixed(docs.repartition(5), block=4, bucket_rows=8).collect()}
+    assert again == {(r.own, r.slot, r.place) for r in got}  # the order of the input doesn't matter
+    ordered = mixing.in_order(docs)
+    assert ordered.columns == docs.columns and {r.slot for r in ordered.collect()} == {5}
 
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>"
@@ -318,7 +363,30 @@ def test_integral_image_sums():
 
 
 def test_rows_survive_extra_columns(docs):
-    assert quality.accepted(docs.withColumn("kept", F.lit(1)).withColumn("id", F.lit(2))).count() >= 0
+    kept = quality.accepted(docs.withColumn("kept", F.lit(1)).withColumn("id", F.lit(2)).withColumn("row", F.lit(3)))
+    assert kept.count() == quality.rules(docs).where("kept").count()
+    assert {(r.kept, r.id, r.row) for r in kept.collect()} == {(1, 2, 3)}
     assert simhash.deduplicated(docs.withColumn("fp", F.lit(1))).count() > 0
     assert substring_dedup.deduplicated(docs.withColumn("anchors", F.lit(1)).withColumn("kept", F.lit(1))).count() == docs.count()
-    assert mixing.mixed(docs.withColumn("slot_", F.lit(1))).count() == docs.count()
+
+
+def test_quality_judges_rows_not_ids(spark):
+    good = " ".join(f"the{i}" for i in range(40))
+    rows = [(None, good, "en"), (None, "too short", "en"), (5, good, None), (5, "ab " * 50, "en"), (6, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted((r.doc_id or 0, r.text) for r in quality.accepted(docs).collect()) == [(0, good), (5, good)]
+
+
+def test_substring_dedup_with_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"v{rng.randrange(300)}" for _ in range(n))
+    passage = prose(40)
+    texts = [(7, passage + " " + prose(1000)), (7, prose(5) + " " + passage), (7, prose(3) + " " + passage), (3, prose(2000)), (3, passage), (3, passage), (None, passage), (None, None), (9, None), (9, ""), (8, prose(10) + " " + passage)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    hashed = {r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    named = sorted({(i, hashed[t or ""], t or "") for i, t in texts if i is not None})
+    want = brute.substring(dict(enumerate(t for _, _, t in named)))
+    want = {(i, t): want[k] for k, (i, _, t) in enumerate(named)} | {(None, t or ""): brute.substring({0: t})[0] for i, t in texts if i is None}
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.repeats(docs).collect())
+    assert got == sorted((str(i), *want[i, t or ""]) for i, t in texts)
+    assert substring_dedup.deduplicated(docs).count() == len(texts)

@@ -8,6 +8,7 @@ import corpus_pipeline
 from framequarry.llm import quality
 
 from . import brute
+from .test_near import shingles, similar
 from .test_operators import KIND, corpus, tiktoken_encoding
 
 
@@ -18,8 +19,14 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {r.doc_id for r in quality.rules(docs).where("kept").collect()}
-    groups = brute.simhash({i: texts[i] for i in kept})
-    left = {i: texts[i] for i, (_, head) in groups.items() if i == head}
+    sets = {i: shingles(texts[i]) for i in kept}
+    head = {i: i for i in kept}
+    for a in sorted(kept):
+        for b in sorted(kept):
+            if a < b and similar(sets[a], sets[b]):
+                x, y = sorted((head[a], head[b]))
+                head = {i: x if h == y else h for i, h in head.items()}
+    left = {i: texts[i] for i, h in head.items() if i == h}
     seen, after = set(), {}
     for i in sorted(left):
         words = brute.words(left[i])
