@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 from fractions import Fraction
@@ -327,12 +328,75 @@ def test_tool_calls(spark):
     assert {by[1, k, t].status for k, t in (("d", 7), ("e", 9), ("m", 9))} == {"blocked"}
     assert by[1, "d", 7].errors == ["$: json"] and by[1, "e", 9].errors == ["name: unknown"] and by[1, "m", 9].errors == ["$.x: type"]
     assert by[2, "a", 1].valid
-    assert (2, "a", 2) not in by and by[2, "z", None].status == "orphan"
-    assert len(out) == 11
+    assert by[2, "a", 2].status == "duplicate" and by[2, "z", None].status == "orphan"
+    assert sum(r.status == "duplicate" for r in out) == 2  # a call and a result
+    assert len(out) == 13
     none = tool_calls.linked(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS)
     assert none.count() == 0
 
 
+def test_tool_call_arguments():
+    bad = ["{", "[" * 200_000, '{"x": NaN}', '{"x": -Infinity}', '{"x": 1e999}', "", "nul", "1" * 5000]
+    for text in bad:
+        with pytest.raises(ValueError):
+            tool_calls.parsed(text)
+    assert tool_calls.canonical(tool_calls.parsed('{"b":1.5, "a":"\\ud800 \\ud83d\\ude00"}')) == '{"a":"\\ud800 😀","b":1.5}'
+    rules = {"type": ["integer", "null"], "enum": [1, None, 7.0]}
+    assert [tool_calls.violations(v, rules) for v in (1, 1.0, None, 7)] == [[]] * 4
+    assert tool_calls.violations(True, rules) == ["$: type"] and tool_calls.violations(1.5, rules) == ["$: type"] and tool_calls.violations(2, rules) == ["$: enum"]
+    assert tool_calls.violations(True, {"enum": [1]}) == ["$: enum"] and tool_calls.violations([{"a": 1}], {"enum": [[{"a": 1.0}]]}) == []
+    assert tool_calls.violations(1, {"type": "nothing known"}) == ["$: type"]
+
+
+def plain_links(calls: list[tuple], results: list[tuple]) -> list[tuple]:
+    """(conv, call, turn, result turn, status, level) by plain loops."""
+    out, heads, answers = [], {}, {}
+    big = lambda row: tuple((x is not None, x) for x in row)
+    for c in sorted(calls, key=lambda c: big((c[2], c[3], c[4]))):
+        if c[0] is None or c[1] is None:
+            out.append((c[0], c[1], c[2], None, "blocked" if c[5] else "unanswered", None))
+        elif c[:2] in heads:
+            out.append((*c[:3], None, "duplicate", None))
+        else:
+            heads[c[:2]] = c
+    for r in sorted(results, key=lambda r: big(r[2:])):
+        if r[0] is None or r[1] is None:
+            out.append((r[0], r[1], None, r[2], "orphan", None))
+        elif r[:2] in answers:
+            out.append((*r[:2], None, r[2], "duplicate", None))
+        else:
+            answers[r[:2]] = r
+    level = {k: 0 for k, c in heads.items() if not c[5]}
+    while True:
+        new = {k: 1 + max(level[k[0], n] for n in c[5]) for k, c in heads.items() if k not in level and all((k[0], n) in level for n in c[5] or [])}
+        if not new:
+            break
+        level |= new
+    for k, c in heads.items():
+        status = "blocked" if k not in level else "linked" if k in answers else "unanswered"
+        out.append((*k, c[2], answers[k][2] if k in answers else None, status, level.get(k)))
+    out += [(*k, None, r[2], "orphan", None) for k, r in answers.items() if k not in heads]
+    return out
+
+
+def test_tool_calls_against_plain_loops(spark):
+    rng = random.Random(6)
+    calls, results = [], []
+    for conv in [1, 2, 3, None]:
+        for i in range(60):
+            needs = rng.choice([None, [], [f"c{i - 1}"], [f"c{i - 1}"], [f"c{i - 2}", f"c{rng.randrange(60)}"] if i % 9 == 0 else [f"c{i - 1}", f"c{i - 1}"]])
+            calls.append((conv, rng.choice([f"c{i}"] * 9 + [None, "c3"]), i, "f", rng.choice(['{"x": 1}', "[" * 9000, '{"x":"\\ud800"}', None]), needs))
+            results.append((conv, f"c{rng.randrange(70)}", i, rng.choice([None, "", "r" * 9000, "\ue000"])))
+    calls += [(4, f"d{i}", i, "f", None, [f"d{i - 1}"] if i else []) for i in range(300)]  # a long chain
+    calls += [(5, "p", 0, "f", None, ["q"]), (5, "q", 1, "f", None, ["p"]), (5, "s", 2, "f", None, ["s"]), (5, "t", 3, "f", None, ["q", "d0"])]
+    calls += [calls[0]] * 3
+    results += [results[0]] * 3
+    out = tool_calls.linked(spark.createDataFrame(calls, CALLS).withColumn("status", F.lit("x")), spark.createDataFrame(results, RESULTS).withColumn("name", F.lit(1)), SCHEMAS).collect()
+    got = sorted((str((r.conv_id, r.call_id, r.turn, r.result_turn, r.status, r.level)) for r in out))
+    assert got == sorted(map(str, plain_links(calls, results)))
+    assert all(isinstance(json.loads(r.message), dict) for r in out)
+
+
 def tune(seed: int, notes: int, rate: int = 8000) -> np.ndarray:
     rng = np.random.default_rng(seed)
     t = np.arange(1024) / rate
