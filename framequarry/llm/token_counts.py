@@ -15,11 +15,13 @@ all new words of a chunk at once; counts of words are kept in a cache of
 bounded size by 64-bit hash.
 
 The vocabulary marks the last symbol of a word, so each byte of a word has two
-states: the word goes on, or it ends there. Words that are not plain (other
-than Latin letters up to U+017F, digits and signs, or with apostrophes, special
-strings, or over 64 bytes in one run) are counted by the tokenizers library,
-prefix by prefix up to 64 bytes; in longer ones only the whole is known, and a
-cut then falls before the word.
+states: the word goes on, or it ends there. Words of Latin letters up to U+017F,
+digits and signs are worked out many at once. The others (further letters,
+apostrophes, special strings, runs of over 64 bytes) are few: short ones are
+counted by the tokenizers library prefix by prefix; long ones are normalised and
+split as the library does, each match of up to 64 bytes is counted at each of its
+characters, and longer matches, of any length, go through the dynamic program
+byte by byte. So every prefix that ends between two characters has its count.
 
 Nulls count as empty: no bytes, no tokens.
 """
@@ -27,7 +29,11 @@ Nulls count as empty: no bytes, no tokens.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,11 @@ _MOST = 64
 _loaded: dict[str, object] = {}
 
 
+def _begins(c: str) -> bool:
+    """Whether normalising what is before a character never needs it."""
+    return c < "\u0300" or not (unicodedata.category(c)[0] == "M" or unicodedata.combining(c) or "\u1160" <= c <= "\u11ff" or "\ud7b0" <= c <= "\ud7ff")
+
+
 def _bytes_of_signs() -> dict[str, int]:
     """The byte that each sign of a byte-level vocabulary stands for."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -126,6 +137,12 @@ class Vocabulary:
         self.final = PairTable(hashes[ends], ids[ends], 18)
         self.longest = int(length.max())
         self.words = Cache()
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.normal: dict[str, str] = {}
+        self.counted: dict[str, int] = {}
+        with open(path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
 
     @classmethod
     def of(cls, path: str) -> Vocabulary:
@@ -210,6 +227,108 @@ class Vocabulary:
                     todo = np.delete(todo, took)
         return ends
 
+    def _apart(self, a: int, b: int) -> bool:
+        found = self.pairs.get((a, b))
+        if found is None:
+            found = self.pairs[a, b] = bool(self._together(np.array([a]), np.array([b]))[0])
+        return found
+
+    def long_run(self, run: bytes) -> list[int]:
+        """Counts of the prefixes of one run of any length. What tokens may end
+        at a byte is looked up for some thousand bytes at once."""
+        flat, n = K.byte_poly(np.frombuffer(run, np.uint8)), len(run)
+        last, count, out = [-1] * (n + 1), [0] * (n + 1), [0] * n
+        for low in range(0, n, 4096):
+            ends = np.arange(low, min(n, low + 4096)) + 1
+            found: list[list[list[tuple[int, int]]]] = [[[], []] for _ in ends]
+            for size in range(min(self.longest, int(ends[-1])), 0, -1):
+                own = ends[ends >= size]
+                h = flat.of(own - size, own) | np.uint64(1)
+                for k, table in enumerate((self.inner, self.final)):
+                    token = table.get(h)
+                    hit = np.flatnonzero(token < _NONE)
+                    for e, t in zip(own[hit].tolist(), token[hit].tolist(), strict=True):
+                        found[e - low - 1][k].append((size, t))
+            for e in ends.tolist():
+                for k in (0, 1):
+                    for size, t in found[e - low - 1][k]:
+                        before = last[e - size]
+                        if e == size or before >= 0 and self._apart(before, t):
+                            if k:
+                                out[e - 1] = count[e - size] + 1
+                            else:
+                                last[e], count[e] = t, count[e - size] + 1
+                            break
+        return out
+
+    def _count(self, text: str) -> int:
+        """Tokens of a normalised piece of text."""
+        found = self.counted.get(text)
+        if found is None:
+            if len(self.counted) > 1 << 18:
+                self.counted.clear()
+            found = sum(len(self.library.model.tokenize(p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
+            self.counted[text] = found
+        return found
+
+    def _normal(self, text: str) -> str:
+        found = self.normal.get(text)
+        if found is None:
+            if len(self.normal) > 1 << 18:
+                self.normal.clear()
+            found = self.normal[text] = self.library.normalizer.normalize_str(text)
+        return found
+
+    def long_word(self, word: str) -> list[int]:
+        """Counts of the prefixes of a word, one for each character."""
+        out: list[int] = []
+        total, begin = 0, 0
+        for special in [*self.special.finditer(word), None]:
+            total, tail = self._section(word[begin : special.start() if special else len(word)], total, out)
+            if special:
+                # a special string that isn't whole is text, and goes on where the text before it stopped
+                shown = special.group()
+                out += [total - self._count(tail) + self._count(tail + self._normal(shown[:k])) for k in range(1, len(shown))]
+                total, begin = total + 1, special.end()
+                out.append(total)
+        return out
+
+    def _section(self, text: str, total: int, out: list[int]) -> tuple[int, str]:
+        """Append total and the count at each character of text; the new total
+        and the last match."""
+        if not text:
+            return total, ""
+        fresh = [i for i, c in enumerate(text) if i == 0 or _begins(c)]
+        atoms = [text[a:b] for a, b in zip(fresh, [*fresh[1:], len(text)], strict=True)]
+        whole = [self._normal(a) for a in atoms]
+        norm = "".join(whole)
+        matches = [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+        starts, before, runs = [a for a, _ in matches], [total], []
+        for a, b in matches:
+            own, run = norm[a:b], None
+            if len(own.encode()) > _MOST:
+                got = self.long_run(own.encode())
+                run = [0, *(got[end - 1] for end in accumulate(len(c.encode()) for c in own))]
+            runs.append(run)
+            before.append(before[-1] + (run[-1] if run else self._count(own)))
+
+        def at(stop: int, more: str) -> int:
+            """Count of norm[:stop] + more."""
+            m = bisect_right(starts, stop - (not more)) - 1
+            if m < 0:
+                return total + self._count(more)
+            a, b = matches[m]
+            if runs[m] and not more and stop <= b:
+                return before[m] + runs[m][stop - a]
+            return before[m] + self._count(norm[a:stop] + more)
+
+        place = 0
+        for atom, own in zip(atoms, whole, strict=True):
+            out += [at(place, self._normal(atom[:k])) for k in range(1, len(atom))]
+            place += len(own)
+            out.append(at(place, ""))
+        return before[-1], norm[starts[-1] :] if starts else ""
+
     def new_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word, the count at each of its bytes (-1: not known there)."""
         flat = K.gathered(data, starts, lengths)
@@ -258,12 +377,16 @@ class Vocabulary:
             for w in rest.tolist():
                 b = raw[pos : pos + lengths[w]]
                 pos += int(lengths[w])
-                stops = [len(b)]
-                if len(b) <= _MOST:
-                    stops = [k for k in range(1, len(b) + 1) if k == len(b) or (b[k] & 0xC0) != 0x80]
+                stops = [k for k in range(1, len(b) + 1) if k == len(b) or (b[k] & 0xC0) != 0x80]
+                if len(b) > _MOST:
+                    got = self.long_word(b.decode("utf-8", "replace"))
+                    if len(got) == len(stops):  # otherwise the bytes aren't UTF-8
+                        out[begin[w] + np.array(stops) - 1] = got
+                        continue
                 texts += [b[:k].decode("utf-8", "replace") for k in stops]
                 where += [int(begin[w]) + k - 1 for k in stops]
-            out[where] = [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            if texts:
+                out[where] = [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
         return out, lengths
 
     def counts(self, data: np.ndarray, words: K.Words) -> tuple[np.ndarray, np.ndarray]:

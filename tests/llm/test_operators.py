@@ -186,21 +186,42 @@ def test_byte_bpe_on_random_text():
     assert all(ids[first[i] : first[i + 1]].tolist() == own.encode_ordinary(t) for i, t in enumerate(texts))
 
 
+def longest_cut(library, text: str, limit: int) -> int:
+    """The longest prefix, in bytes, of limit tokens at most, by trying all."""
+    if len(library.encode(text, add_special_tokens=False).ids) <= limit:
+        return len(text.encode())
+    heads = [text[:k] for k in range(min(len(text), 20 * limit + 900), -1, -1)]
+    counts = (len(e.ids) for i in range(0, len(heads), 500) for e in library.encode_batch(heads[i : i + 500], add_special_tokens=False))
+    return next(len(h.encode()) for h, n in zip(heads, counts) if n <= limit)
+
+
+def test_cuts_within_long_words(spark):
+    library = token_counts.Vocabulary.of(WORDS).library
+    rng = random.Random(3)
+    texts = ["漢字仮名交じり文" * 40, base64.b64encode(rng.randbytes(400)).decode(), "हिन्दी" * 60, "e\u0301a" * 80, "x" * 900, "don't" * 50, "'" * 300, "한국어" * 60, "\u1112\u1161\u11ab" * 40, "😀" * 90, "a\u3000b" * 70, "İ" * 90, "<|endoftext|>" * 30 + "<|endof", "##<|startoftext|>ab" * 20, "x" * 90 + "<|startof", "12" * 100, "Ω" * 99, "!?" * 99 + "'re" * 50]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in token_counts.token_counts(docs, WORDS, limit=17).collect():
+        assert r.cut_bytes == longest_cut(library, texts[r.doc_id], 17), texts[r.doc_id][:20]
+        assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
 def test_token_counts(docs, empty):
     library = token_counts.Vocabulary.of(WORDS).library
     for r in token_counts.token_counts(docs, WORDS, limit=40, curve=True).collect():
         text = corpus()[r.doc_id] or ""
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 40)
-        head = text.encode()[: r.cut_bytes].decode()
-        assert len(library.encode(head, add_special_tokens=False).ids) <= 40
+        assert r.cut_bytes == longest_cut(library, text, 40)
         assert (r.totals[-1] if r.totals else 0) == n
     assert token_counts.token_counts(empty, WORDS).count() == 0
 
 
 def test_counts_of_all_prefixes():
     v = token_counts.Vocabulary.of(WORDS)
-    texts = ["internationalization", "aaaaaaaaaaa", "hello!!99", "Straße", "don't", "thththonere"]
+    rng = random.Random(13)
+    signs = ["a", "b", "the", "S", "é", "e\u0301", "漢", "'", "'s", "re", "12", "!", "#", "<|", "|>", "<|endoftext|>", "<", "\u0338", "İ", "ß", "\u3000", "\xa0", "한", "\u1112\u1161", "\u11ab", "हि", "😀", "Σ", "x" * 70, "!" * 70]
+    texts = ["internationalization", "aaaaaaaaaaa", "hello!!99", "Straße", "don't", "thththonere", "x" * 300, "漢字" * 50]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(150)]
     data, off = K.texts(pa.array(texts))
     at, n = v.counts(data, K.Words(data, off))
     for i, t in enumerate(texts):
