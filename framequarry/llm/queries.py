@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters, bpe, chroma, mixing, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_store, tool_calls
+from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,8 +78,10 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = chroma.fingerprints(adapters.audio_of(table(spark, sf_dir, "embeddings")))
-    return chroma.aligned(prints, prints.where("id % 20 = 0").select("id"))
+    prints = stored(chroma.fingerprints(adapters.audio_of(table(spark, sf_dir, "embeddings"))), "prints")
+    found = chroma.aligned(prints, prints.where("id % 20 = 0").select("id")).select(F.lit("match").alias("kind"), "*")
+    members = chroma.classes(prints).select(F.lit("member").alias("kind"), "id", "class_id")
+    return found.unionByName(members, allowMissingColumns=True)
 
 
 @query

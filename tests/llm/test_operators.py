@@ -440,6 +440,44 @@ def test_chroma(spark):
     assert chroma.aligned(prints.where("id > 100"), prints).count() == 0
 
 
+def test_recall_of_noisy_and_shifted_copies(spark):
+    """Every two recordings at every offset, in plain loops."""
+    rng = np.random.default_rng(5)
+    scores = [rng.integers(-20, 20, 45) for _ in range(60)]
+    t = np.arange(512) / 8000
+    wave = lambda notes: np.concatenate([np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in notes])
+    rows = []
+    for i, notes in enumerate(scores):
+        rows.append((10 * i, pcm(wave(notes))))
+        for k, changed in enumerate((1, 2, 3, 4, 6)):
+            own = notes.copy()
+            own[rng.choice(45, changed, replace=False)] += rng.choice([-1, 1], changed)
+            rows.append((10 * i + 1 + k, pcm(wave(own[k % 3 :]))))
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, pcm binary")).cache()
+    steps = {r.id: np.array(r.prints, np.int32).view(np.uint32) for r in prints.collect()}
+    want = set()
+    for a in range(0, 600, 10):
+        for b in steps:
+            for d in range(-3, 4):
+                lo, hi = max(0, d), min(len(steps[a]), len(steps[b]) + d)
+                if np.bitwise_count(steps[a][lo:hi] ^ steps[b][lo - d : hi - d]).sum() <= 0.2 * 32 * (hi - lo):
+                    want.add((a, b))
+    head = {r.id: r.class_id for r in chroma.classes(prints).collect()}
+    found = {(r.id, r.match_class) for r in chroma.aligned(prints, prints.where("id % 10 = 0")).collect()}
+    hit = sum((a, head[b]) in found for a, b in want)
+    print(f"pairs {len(want)}, found {hit}")
+    assert len(want) > 250 and hit >= 0.97 * len(want)
+    assert all((a, head[a]) in found for a in range(0, 600, 10))
+    assert all(any((a, b) in want for b in steps if head[b] == c) for a, c in found)
+
+
+def test_silence_and_repeated_ids(spark):
+    rows = [(1, pcm(np.zeros(9000))), (2, pcm(np.zeros(15000))), (3, pcm(tune(1, 40))), (3, pcm(tune(1, 40))), (4, pcm(tune(2, 40))), (4, pcm(tune(3, 40)))]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"))
+    found = {(r.id, r.match_class) for r in chroma.aligned(prints, prints).collect()}
+    assert {(1, 2), (2, 1), (3, 3), (4, 4)} <= found
+
+
 def test_integral_image_sums():
     image = np.random.default_rng(3).random((30, 12))
     assert len(chroma.fingerprint(image)) == 30 - chroma.STEPS + 1
