@@ -466,7 +466,13 @@ def test_recall_of_noisy_and_shifted_copies(spark):
     found = {(r.id, r.match_class) for r in chroma.aligned(prints, prints.where("id % 10 = 0")).collect()}
     hit = sum((a, head[b]) in found for a, b in want)
     print(f"pairs {len(want)}, found {hit}")
-    assert len(want) > 250 and hit >= 0.97 * len(want)
+    assert len(want) > 250 and hit >= 0.95 * len(want)
+    for n in (10_000, 50_000):  # the keys of larger tables
+        bits, tables = chroma.keys_for(n)
+        found_then = {(r.id, r.match_class) for r in chroma.aligned(prints, prints.where("id % 10 = 0"), bits=bits, tables=tables).collect()}
+        then = sum((a, head[b]) in found_then for a, b in want)
+        print(f"keys of {n} classes: {then}")
+        assert then >= 0.9 * len(want)
     assert all((a, head[a]) in found for a in range(0, 600, 10))
     assert all(any((a, b) in want for b in steps if head[b] == c) for a, c in found)
 
