@@ -109,7 +109,7 @@ def flooded(frames: DataFrame, x: int, y: int, colour: int, tolerance: int = 0)
     takes a colour (4 neighbours)."""
 
     def f(px: np.ndarray) -> np.ndarray:
-        if not (0 <= y < px.shape[0] and 0 <= x < px.shape[1]) or px[y, x] == colour:
+        if not (0 <= y < px.shape[0] and 0 <= x < px.shape[1]):
             return px
         parts = px.astype(np.int32).view(np.uint8).reshape(*px.shape, 4).astype(int)
         near = (np.abs(parts - parts[y, x]) <= tolerance).all(axis=2)
