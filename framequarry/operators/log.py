@@ -40,3 +40,16 @@ def checkpoints(log: DataFrame, every: int = 10) -> DataFrame:
     anchors = log.where(F.col("serial") % every == 0).select("session", "serial", "ts")
     order = Window.partitionBy("session").orderBy("serial")
     return anchors.withColumn("since", F.col("serial") - F.coalesce(F.lag("serial").over(order), F.lit(0)))
+
+
+def checkpoint(anchors: DataFrame, serial: int) -> DataFrame:
+    """The anchors at one serial."""
+    return anchors.where(F.col("serial") == serial)
+
+
+def without_checkpoint(anchors: DataFrame, serial: int) -> DataFrame:
+    return anchors.where(F.col("serial") != serial)
+
+
+def without_session(anchors: DataFrame, session: int) -> DataFrame:
+    return anchors.where(F.col("session") != session)

@@ -133,7 +133,13 @@ def composited(cels: DataFrame, layers: DataFrame) -> DataFrame:
     visible (a project's layers are few and are broadcast). Visible layers over
     one another, bottom first; a layer's opacity is truncated to a byte."""
     shown = layers.where("visible and opacity > 0").select("layer_id", "place", F.least(F.lit(255), (F.col("opacity").cast("float") * F.lit(255.0).cast("float")).cast("int")).alias("op"))
-    stack = cels.join(F.broadcast(shown), "layer_id").groupBy("frame_idx", "w", "h").agg(F.sort_array(F.collect_list(F.struct("place", "op", "pixels"))).alias("stack"))
+    return stacked(cels.join(F.broadcast(shown), "layer_id"), ["frame_idx"])
+
+
+def stacked(cels: DataFrame, keys: list[str]) -> DataFrame:
+    """cels: keys, w, h, pixels, place, op (opacity as a byte). The cels of a key
+    over one another, least place first."""
+    stack = cels.groupBy(*keys, "w", "h").agg(F.sort_array(F.collect_list(F.struct("place", "op", "pixels"))).alias("stack"))
     blank = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda i: F.lit(0))
 
     def over(below: Column, layer: Column) -> Column:
@@ -143,4 +149,4 @@ def composited(cels: DataFrame, layers: DataFrame) -> DataFrame:
 
         return F.zip_with(below, layer["pixels"], one)
 
-    return stack.select("frame_idx", "w", "h", F.aggregate("stack", blank, over).alias("pixels"))
+    return stack.select(*keys, "w", "h", F.aggregate("stack", blank, over).alias("pixels"))

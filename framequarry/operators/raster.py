@@ -239,6 +239,38 @@ def scale2x(frames: DataFrame) -> DataFrame:
     return on_grid(frames, lambda r: r.w * 2, lambda r: r.h * 2, pixel)
 
 
+def scale3x(frames: DataFrame) -> DataFrame:
+    """Three times the size: a corner of the block takes the colour that its two
+    adjacent neighbours share unless opposite ones are equal, and where the
+    diagonal neighbour differs from both, the diagonal's. Borders repeat."""
+
+    def pixel(r: Raster, ox: Column, oy: Column) -> Column:
+        x, y = C.idiv(ox, 3), C.idiv(oy, 3)
+        dx, dy = (ox % 3).cast("int") - 1, (oy % 3).cast("int") - 1
+
+        def at(i: Column | int, j: Column | int) -> Column:
+            return r.at(F.least(r.w - 1, F.greatest(F.lit(0), x + i)), F.least(r.h - 1, F.greatest(F.lit(0), y + j)))
+
+        around = F.struct(at(dx, 0).alias("side"), at(0, dy).alias("end"), at(-dx, 0).alias("far_side"), at(0, -dy).alias("far_end"), at(dx, dy).alias("slant"), r.at(x, y).alias("own"))
+
+        def rule(n: Column) -> Column:
+            shared = (dx != 0) & (dy != 0) & (n["side"] == n["end"]) & (n["side"] != n["far_end"]) & (n["end"] != n["far_side"])
+            return F.when(~shared, n["own"]).when(n["slant"] != n["side"], n["slant"]).otherwise(n["side"])
+
+        return C.let(around, rule)
+
+    return on_grid(frames, lambda r: r.w * 3, lambda r: r.h * 3, pixel)
+
+
+def extruded(frames: DataFrame, amount: int) -> DataFrame:
+    """A border of a width that repeats the edge pixels."""
+
+    def source(r: Raster, x: Column, y: Column) -> tuple[Column, Column]:
+        return F.least(r.w - 1, F.greatest(F.lit(0), x - amount)), F.least(r.h - 1, F.greatest(F.lit(0), y - amount))
+
+    return regridded(frames, lambda r: r.w + 2 * amount, lambda r: r.h + 2 * amount, source)
+
+
 #: Ordered-dither matrices.
 BAYER = {
     2: [0, 2, 3, 1],

@@ -104,19 +104,48 @@ def largest(frames: DataFrame, count: int = 1, eight: bool = False) -> DataFrame
     return per_raster(frames, f)
 
 
+def _area(px: np.ndarray, x: int, y: int, tolerance: int) -> np.ndarray:
+    """Which pixels a flood from (x, y) reaches; none from outside."""
+    if not (0 <= y < px.shape[0] and 0 <= x < px.shape[1]):
+        return np.zeros(px.shape, bool)
+    parts = np.ascontiguousarray(px, np.int32).view(np.uint8).reshape(*px.shape, 4).astype(int)
+    near = (np.abs(parts - parts[y, x]) <= tolerance).all(axis=2)
+    right, down = np.zeros(px.shape, bool), np.zeros(px.shape, bool)
+    right[:, :-1], down[:-1] = near[:, :-1] & near[:, 1:], near[:-1] & near[1:]
+    label = labels(right, down)
+    return near & (label == label[y, x])
+
+
 def flooded(frames: DataFrame, x: int, y: int, colour: int, tolerance: int = 0) -> DataFrame:
     """The area round (x, y) within tolerance of its colour, in all four channels,
     takes a colour (4 neighbours)."""
+    return per_raster(frames, lambda px: np.where(_area(px, x, y, tolerance), colour, px))
+
+
+def flood_area(frames: DataFrame, x: int, y: int, tolerance: int = 0) -> DataFrame:
+    """frames with 1 for each pixel that a flood would reach and 0 elsewhere."""
+    return per_raster(frames, lambda px: _area(px, x, y, tolerance).astype(np.int32))
+
+
+def _holes(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of transparent areas (4 neighbours), and which pixels lie in one
+    that doesn't reach the border."""
+    h, w = px.shape
+    off = _alpha(px) == 0
+    right, down = np.zeros((h, w), bool), np.zeros((h, w), bool)
+    right[:, :-1], down[:-1] = off[:, :-1] & off[:, 1:], off[:-1] & off[1:]
+    label = labels(right, down)
+    edge = np.concatenate([label[0], label[-1], label[:, 0], label[:, -1]])
+    outside = edge[np.concatenate([off[0], off[-1], off[:, 0], off[:, -1]])]
+    return label, off & ~np.isin(label, outside)
+
+
+def holes(frames: DataFrame) -> DataFrame:
+    """frames with labels of enclosed transparent areas in place of pixels."""
 
     def f(px: np.ndarray) -> np.ndarray:
-        if not (0 <= y < px.shape[0] and 0 <= x < px.shape[1]):
-            return px
-        parts = px.astype(np.int32).view(np.uint8).reshape(*px.shape, 4).astype(int)
-        near = (np.abs(parts - parts[y, x]) <= tolerance).all(axis=2)
-        right, down = np.zeros(px.shape, bool), np.zeros(px.shape, bool)
-        right[:, :-1], down[:-1] = near[:, :-1] & near[:, 1:], near[:-1] & near[1:]
-        label = labels(right, down)
-        return np.where(near & (label == label[y, x]), colour, px)
+        label, inside = _holes(px)
+        return np.where(inside, np.searchsorted(np.unique(label[inside]), label) + 1, 0)
 
     return per_raster(frames, f)
 
@@ -128,12 +157,7 @@ def holes_filled(frames: DataFrame) -> DataFrame:
 
     def f(px: np.ndarray) -> np.ndarray:
         h, w = px.shape
-        off = _alpha(px) == 0
-        right, down = np.zeros((h, w), bool), np.zeros((h, w), bool)
-        right[:, :-1], down[:-1] = off[:, :-1] & off[:, 1:], off[:-1] & off[1:]
-        label = labels(right, down)
-        edge = np.concatenate([label[0], label[-1], label[:, 0], label[:, -1]])
-        todo = off & ~np.isin(label, edge[np.concatenate([off[0], off[-1], off[:, 0], off[:, -1]])])
+        _, todo = _holes(px)
         out = px.copy()
         while todo.any():
             votes = np.zeros((h, w, 4), np.int64)

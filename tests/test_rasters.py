@@ -60,6 +60,10 @@ def test_components(spark):
     assert shown(sequential.without_small(fr, 2)) == ["rr.. .... .... ...."]
     assert shown(sequential.largest(fr, 2)) == ["rr.. ..g. .... ...."]
     assert shown(sequential.flooded(fr, 3, 0, -1)) == ["rrww wwgw wwww bwwb"]
+    near = drawn(spark, "ww. awr")
+    assert shown(sequential.flooded(near, 0, 0, -1)) == ["ww. awr"]
+    assert shown(sequential.flooded(near, 0, 0, -1, 130)) == ["ww. wwr"]  # the seed has the fill colour
+    assert shown(sequential.flooded(near, 9, 0, -1, 130)) == ["ww. awr"]
     assert shown(sequential.holes_filled(drawn(spark, "rrrr r..r rrrr"))) == ["rrrr rrrr rrrr"]
 
 
