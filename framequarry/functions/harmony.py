@@ -112,3 +112,19 @@ def luminance_ramp(c: Column, steps: int) -> Column:
         return F.array(*dark, c, *bright)
 
     return C.let(C.lab(c), rungs)
+
+
+def by_lightness(colours: Column) -> Column:
+    """Colours from dark to light; equal ones stay in order."""
+    keyed = F.transform(colours, lambda c, i: F.struct(C.lab(c)["l"].alias("l"), i.alias("i"), c.alias("c")))
+    return F.transform(F.array_sort(keyed), lambda s: s["c"])
+
+
+def with_colour(colours: Column, c: Column) -> Column:
+    """A palette with a colour more, at its end."""
+    return F.concat(colours, F.array(c))
+
+
+def without_place(colours: Column, place: int) -> Column:
+    """A palette without the colour at a place; the last one stays."""
+    return F.when(F.size(colours) > 1, F.filter(colours, lambda c, i: i != place)).otherwise(colours)

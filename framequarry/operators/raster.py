@@ -121,6 +121,35 @@ def resampled(frames: DataFrame, w: int, h: int, centred: bool = True) -> DataFr
     return regridded(frames, lambda r: F.lit(w), lambda r: F.lit(h), source)
 
 
+def pixel_at(frames: DataFrame, x: int, y: int) -> DataFrame:
+    """(frame_id, argb) at a place; outside a raster 0."""
+    inside = (F.lit(x) >= 0) & (F.lit(x) < F.col("w")) & (F.lit(y) >= 0) & (F.lit(y) < F.col("h"))
+    return frames.select("frame_id", F.when(inside, F.get("pixels", (F.lit(y) * F.col("w") + x).cast("int"))).otherwise(F.lit(0)).alias("argb"))
+
+
+def trimmed(frames: DataFrame) -> DataFrame:
+    """Each raster cut to the box of what is visible in it; a raster without
+    anything visible stays as it is."""
+
+    def bounds(r: Column) -> Column:
+        on = F.filter(F.transform(r["pixels"], lambda p, i: F.when(C.alpha(p) > 0, i)), lambda i: i.isNotNull())
+        xs = F.transform(on, lambda i: (i % r["w"]).cast("int"))
+        return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), C.idiv(F.array_min(on), r["w"]).alias("y0"), C.idiv(F.array_max(on), r["w"]).alias("y1"))
+
+    rest = [c for c in frames.columns if c not in ("w", "h", "pixels")]
+
+    def cut(r: Column) -> Column:
+        def within(b: Column) -> Column:
+            w, h = b["x1"] - b["x0"] + 1, b["y1"] - b["y0"] + 1
+            cells = F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.get(r["pixels"], ((b["y0"] + C.idiv(i, w)) * r["w"] + b["x0"] + (i % w).cast("int")).cast("int")))
+            return F.when(b["x0"].isNull(), r).otherwise(F.struct(w.cast("int").alias("w"), h.cast("int").alias("h"), cells.alias("pixels")))
+
+        return C.let(bounds(r), within)
+
+    out = frames.select(*rest, C.let(F.struct("w", "h", "pixels"), cut).alias("__r"))
+    return out.select(*rest, "__r.w", "__r.h", "__r.pixels")
+
+
 def stencil(frames: DataFrame, f: Callable[[Column, Neighbour, Column, Column], Column]) -> DataFrame:
     """f(pixel, neighbour, x, y): neighbour(dx, dy) is null outside the raster."""
 

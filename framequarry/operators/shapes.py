@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_POINTS = 4_194_304
@@ -138,3 +138,42 @@ def drawn(frames: DataFrame, shapes: DataFrame) -> DataFrame:
     from ..functions.colour import let
 
     return joined.withColumn("pixels", let(F.col("__s"), made)).select(*frames.columns)
+
+
+def span_filled(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y): each row from its first to its last point."""
+    rows = points.groupBy(*keys, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return rows.select(*keys, F.explode(F.sequence("lo", "hi")).alias("x"), "y")
+
+
+def cubic(curves_: DataFrame, steps: int = 48) -> DataFrame:
+    """curves_: keys and x0..x3, y0..y3. The distinct points (keys, x, y) of cubic
+    curves, those below 0 left out."""
+    keys = [c for c in curves_.columns if c not in {f"{a}{i}" for a in "xy" for i in range(4)}]
+    each = curves_.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    t = F.col("t") / float(steps)
+    u = 1.0 - t
+    weights = [u * u * u, 3.0 * u * u * t, 3.0 * u * t * t, t * t * t]
+    at = {a: F.floor(sum((w * F.col(f"{a}{i}") for i, w in enumerate(weights[1:], 1)), weights[0] * F.col(f"{a}0")) + 0.5).cast("int") for a in "xy"}
+    return each.select(*keys, at["x"].alias("x"), at["y"].alias("y")).where("x >= 0 and y >= 0").distinct()
+
+
+def polygons_filled(corners: DataFrame, keys: list[str], w: int, h: int) -> DataFrame:
+    """corners: keys, ord, x, y. The points (keys, x, y) inside polygons, by
+    crossings of each row's middle; the corners of a polygon meet in one window,
+    the rows of a crossing in another."""
+    order = Window.partitionBy(*keys).orderBy("ord")
+    whole = Window.partitionBy(*keys)
+    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    edges = corners.select(*keys, "x", "y", nxt("x").alias("x2"), nxt("y").alias("y2"), F.count("*").over(whole).alias("n")).where("n >= 3 and y <> y2")
+    down = F.col("y") < F.col("y2")
+    pick = lambda a, b: F.when(down, F.col(a)).otherwise(F.col(b))
+    edges = edges.select(*keys, pick("x", "x2").alias("xa"), pick("y", "y2").alias("ya"), pick("x2", "x").alias("xb"), pick("y2", "y").alias("yb"))
+    rows = edges.withColumn("row", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ya")), F.col("yb") - 1))).where(F.col("row") < h)
+    rows = rows.where((F.col("row") >= F.col("ya")) & (F.col("row") < F.col("yb")))
+    slope = (F.col("xb") - F.col("xa")) / (F.col("yb") - F.col("ya")).cast("double")
+    met = rows.select(*keys, "row", (F.col("xa") + (F.col("row") + 0.5 - F.col("ya")) * slope).alias("cross"))
+    met = met.groupBy(*keys, "row").agg(F.sort_array(F.collect_list("cross")).alias("xs"))
+    spans = met.select(*keys, "row", F.explode(F.filter(F.transform("xs", lambda v, i: F.when(i % 2 == 0, F.struct(v.alias("a"), F.get("xs", i + 1).alias("b")))), lambda s: s["b"].isNotNull())).alias("s"))
+    first, last = F.greatest(F.lit(0), F.ceil(F.col("s.a") - 0.5).cast("int")), F.least(F.lit(w - 1), F.ceil(F.col("s.b") - 0.5).cast("int") - 1)
+    return spans.select(*keys, "row", first.alias("a"), last.alias("b")).where("a <= b").select(*keys, F.explode(F.sequence("a", "b")).alias("x"), F.col("row").alias("y"))

@@ -58,3 +58,17 @@ def sheet(frames: DataFrame, columns: int = 8, margin: int = 0) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("tag").orderBy("frame_id")) - 1
     laid = frames.select("frame_id", "tag", "w", "h", place.alias("place"))
     return laid.select("frame_id", "tag", ((F.col("place") % columns) * (F.col("w") + margin) + margin).cast("int").alias("x"), (C.idiv(F.col("place"), columns) * (F.col("h") + margin) + margin).cast("int").alias("y"), "w", "h")
+
+
+def bounced(frames: DataFrame, amplitude: int = 2, bounces: int = 2) -> DataFrame:
+    """Each frame (bounces + 1) * 2 + 1 times, with `phase`: at odd phases lower
+    by the amplitude, halved from one to the next and rounded half up."""
+    drops = [int(amplitude / (1 << p // 2) + 0.5) if p % 2 else 0 for p in range((bounces + 1) * 2 + 1)]
+    phased = frames.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(len(drops) - 1))))
+    drop = F.get(F.array(*[F.lit(d) for d in drops]), F.col("phase"))
+
+    def lowered(p: Column, i: Column) -> Column:
+        at = i - drop * F.col("w")
+        return F.when(at >= 0, F.get("pixels", at.cast("int"))).otherwise(F.lit(0))
+
+    return phased.withColumn("pixels", F.transform("pixels", lowered))

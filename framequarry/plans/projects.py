@@ -148,7 +148,7 @@ def _read_back(p: project.Projects) -> DataFrame:
     return _timeline(back).join(back.heads.select("project_id", "name", "fps"), "project_id").join(counts, "project_id")
 
 
-_on("project_documents", _read_back, _INK + " SELECT t.project_id, frame_id, t.place, duration_ms, active_frame, cels, ink, name, fps, 2 AS tags FROM t JOIN heads USING (project_id)")
+_on("project_documents", _read_back, _INK + " SELECT t.project_id, frame_id, t.place, duration_ms, active_frame, cels, ink, name, fps, CAST(2 AS BIGINT) AS tags FROM t JOIN heads USING (project_id)")
 
 
 # selections
