@@ -134,7 +134,7 @@ _W = ["(1 - u) * (1 - u) * (1 - u)", "3.0::DOUBLE * (1 - u) * (1 - u) * u", "3.0
 
 
 def _cubic_sql(*p: str) -> str:
-    return "CAST(floor(" + " + ".join(f"{w} * {v}" for w, v in zip(_W, p, strict=True)) + " + 0.5::DOUBLE) AS INTEGER)"
+    return "CAST(floor(" + " + ".join(f"{w} * ({v})" for w, v in zip(_W, p, strict=True)) + " + 0.5::DOUBLE) AS INTEGER)"
 
 
 add("cubic_points", _cubics, f"SELECT DISTINCT p_partkey AS shape, {_cubic_sql('0', 'p_size % 17', 'CAST(p_partkey % 40 AS INTEGER)', '60')} AS x, {_cubic_sql('p_size', '20', '45', 'p_size')} AS y FROM part, (SELECT k / 48.0::DOUBLE AS u FROM (SELECT unnest(range(0, 49)) AS k))")
