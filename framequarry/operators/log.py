@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.frames import ranked
+
 
 def from_events(events: DataFrame) -> DataFrame:
     """(session, serial, ts, kind, k): events in their order within a session."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
-    return events.select(F.col("user_id").alias("session"), F.row_number().over(order).alias("serial"), "ts", F.col("event_type").alias("kind"), k.alias("k"))
+    own = events.select(F.col("user_id").alias("session"), "ts", F.col("event_type").alias("kind"), k.alias("k"), "event_id")
+    found = ranked(own, "session", F.date_trunc("hour", "ts"), ["ts", "event_id"], "serial")
+    return found.select("session", (F.col("serial") + 1).alias("serial"), "ts", "kind", "k")
 
 
 def as_of(log: DataFrame, serial: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
+from ..sources.frames import numbered
 from .raster import Raster, on_grid, regridded, same_h, same_w
 
 
@@ -52,11 +53,6 @@ def pasted(pairs: DataFrame, x0: int, y0: int) -> DataFrame:
     return pairs.select("frame_id", "w", "h", C.let(F.struct("w", "h", "before", "after"), made).alias("pixels"))
 
 
-def placed(frames: DataFrame) -> DataFrame:
-    """frames with their place in the timeline of their tag, from 0."""
-    return frames.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy("frame_id")) - 1)
-
-
 def _shifted(frames: DataFrame, dx: Column, dy: Column) -> DataFrame:
     with_shift = frames.withColumns({"dx": dx.cast("int"), "dy": dy.cast("int")})
     out = with_shift.select("*", F.struct("w", "h", "pixels", "dx", "dy").alias("__s"))
@@ -82,13 +78,13 @@ def shaken(frames: DataFrame, amplitude: int = 1, speed: int = 2) -> DataFrame:
 def swayed(frames: DataFrame, amplitude: int = 1, wavelength: int = 4, vertical: bool = False) -> DataFrame:
     """Frames shifted by a sine of their place in the timeline, rounded half up."""
     offset = F.floor(amplitude * F.sin(F.lit(6.283185307179586) * F.col("place") / wavelength) + 0.5)
-    rows = placed(frames)
+    rows = numbered(frames)
     return _shifted(rows, F.lit(0) if vertical else offset, offset if vertical else F.lit(0)).select(*frames.columns)
 
 
 def scanned(frames: DataFrame, colour: int) -> DataFrame:
     """A row of colour over each frame, at the row of its place in the timeline."""
-    rows = placed(frames).select("*", F.struct("w", "h", "pixels", "place").alias("__s"))
+    rows = numbered(frames).select("*", F.struct("w", "h", "pixels", "place").alias("__s"))
 
     def made(s: Column) -> Column:
         return F.transform(s["pixels"], lambda p, i: F.when(C.idiv(i, s["w"]) == s["place"] % s["h"], C.blended(F.lit(colour), p)).otherwise(p))

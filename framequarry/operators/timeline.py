@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
+from ..sources.frames import numbered
 from . import raster
 
 
@@ -23,15 +24,15 @@ def tagged(frames: DataFrame, tags: DataFrame) -> DataFrame:
 def onion_skin(frames: DataFrame, range_: int = 1) -> DataFrame:
     """For each frame of a tag's timeline (by frame_id) the frames before and
     after it, faded to 0x66 and 0x33: frame_id, side, pixels."""
-    order = Window.partitionBy("tag").orderBy("frame_id")
-    first, last = order.rowsBetween(-range_, -1), order.rowsBetween(1, range_)
-
-    def faded(c: Column, k: int) -> Column:
-        return F.transform(c, lambda p: C.scaled_alpha(p, k))
-
-    sides = frames.withColumn("previous", F.first("pixels").over(first)).withColumn("next", F.last("pixels").over(last))
-    both = F.array(F.struct(F.lit("previous").alias("side"), faded(F.col("previous"), 0x66).alias("pixels")), F.struct(F.lit("next").alias("side"), faded(F.col("next"), 0x33).alias("pixels")))
-    return sides.select("frame_id", "w", "h", F.explode(both).alias("s")).select("frame_id", "w", "h", "s.side", "s.pixels").where("pixels is not null")
+    places = numbered(frames)
+    last = places.groupBy("tag").agg(F.max("place").alias("last"))
+    place = F.col("place")
+    asked = places.select("frame_id", "w", "h", "tag", "place").join(last, "tag")
+    at = F.array(F.struct(F.lit("previous").alias("side"), F.when(place > 0, F.greatest(F.lit(0), place - range_)).alias("at")), F.struct(F.lit("next").alias("side"), F.when(place < F.col("last"), F.least(F.col("last"), place + range_)).alias("at")))
+    asked = asked.select("frame_id", "w", "h", "tag", F.explode(at).alias("s")).select("frame_id", "w", "h", "tag", "s.side", "s.at").where("at is not null")
+    shown = places.select("tag", F.col("place").alias("at"), "pixels")
+    strength = F.when(F.col("side") == "previous", 0x66).otherwise(0x33)
+    return asked.join(shown, ["tag", "at"]).select("frame_id", "w", "h", "side", F.transform("pixels", lambda p: C.scaled_alpha(p, strength)).alias("pixels"))
 
 
 def breathe(frames: DataFrame, amplitude: int = 1) -> DataFrame:
@@ -55,8 +56,7 @@ def typewriter(frames: DataFrame) -> DataFrame:
 
 def sheet(frames: DataFrame, columns: int = 8, margin: int = 0) -> DataFrame:
     """Where each frame of a tag goes on a sheet: frame_id, x, y, w, h."""
-    place = F.row_number().over(Window.partitionBy("tag").orderBy("frame_id")) - 1
-    laid = frames.select("frame_id", "tag", "w", "h", place.alias("place"))
+    laid = numbered(frames.select("frame_id", "tag", "w", "h"))
     return laid.select("frame_id", "tag", ((F.col("place") % columns) * (F.col("w") + margin) + margin).cast("int").alias("x"), (C.idiv(F.col("place"), columns) * (F.col("h") + margin) + margin).cast("int").alias("y"), "w", "h")
 
 

@@ -28,9 +28,10 @@ def svg(frames: DataFrame) -> DataFrame:
 
 def named_colours(frames: DataFrame) -> DataFrame:
     """(frame_id, argb, name, distance, cnt) of the visible colours of a raster.
-    Names are looked up once a colour and raster, after the count."""
+    Names are looked up once a colour, of which there are far fewer than pixels."""
     px = measures.visible(measures.pixels(frames)).groupBy("frame_id", "argb").agg(F.count("*").alias("cnt"))
-    return px.withColumn("n", names.nearest(F.col("argb"))).select("frame_id", "argb", "n.name", "n.distance", "cnt")
+    named = px.select("argb").distinct().withColumn("n", names.nearest(F.col("argb")))
+    return px.join(named, "argb").select("frame_id", "argb", "n.name", "n.distance", "cnt")
 
 
 def analysed(frames: DataFrame, solid: int = 128) -> DataFrame:

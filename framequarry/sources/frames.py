@@ -95,6 +95,20 @@ def tiles(px: DataFrame) -> DataFrame:
     )
 
 
+def ranked(rows: DataFrame, group: str, bucket: Column, order: list[str], name: str) -> DataFrame:
+    """rows with their number (from 0) in a group, in the order of some columns.
+    bucket doesn't fall along that order: rows are ranked within (group, bucket)
+    and moved up by the sizes of the buckets before, so a group with a third of
+    all rows is no task of its own."""
+    dealt = rows.withColumn("__bucket", bucket)
+    sizes = dealt.groupBy(group, "__bucket").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(group).alias("__group"), F.col("__bucket").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    within = dealt.withColumn("__within", F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(*order)) - 1)
+    same = F.col(group).eqNullSafe(F.col("__group")) & F.col("__bucket").eqNullSafe(F.col("__of"))
+    return within.join(sizes, same).select(*rows.columns, (F.col("__within") + F.col("__before")).cast("int").alias(name))
+
+
 def numbered(frames: DataFrame, key: str = "frame_id") -> DataFrame:
-    """frames with their place in the order of key, within each tag."""
-    return frames.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy(key)) - 1)
+    """frames with their place in the order of key, a number, within each tag."""
+    return ranked(frames, "tag", F.floor(F.col(key) / 4096), [key], "place")
