@@ -209,16 +209,60 @@ def simulated(c: Column, deficiency: str, severity: float = 1.0) -> Column:
     """A colour as seen with a deficiency, by a matrix in linear light."""
     if deficiency == "achromat":
         return achromat(c, severity)
-    m = [x * severity + (1 - severity) * (i % 4 == 0) for i, x in enumerate(MACHADO[deficiency])]
+    return _through(c, [x * severity + (1 - severity) * (i % 4 == 0) for i, x in enumerate(MACHADO[deficiency])])
+
+
+#: An older pair of matrices for the same, at full strength.
+VIENOT = {
+    "protan": [0.11238, 0.88762, 0.0, 0.11238, 0.88762, 0.0, 0.00401, -0.00401, 1.0],
+    "deutan": [0.29275, 0.70725, 0.0, 0.29275, 0.70725, 0.0, -0.02234, 0.02234, 1.0],
+}
+
+
+def simulated_plainly(c: Column, deficiency: str) -> Column:
+    """As `simulated` at full strength, by the older matrices where there are some."""
+    return _through(c, VIENOT[deficiency]) if deficiency in VIENOT else simulated(c, deficiency)
+
+
+def encoded(v: Column) -> Column:
+    """Linear light to an sRGB byte."""
+    v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    s = F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
+    return clamp8(F.floor(s * 255.0 + 0.5).cast("int"))
+
+
+def _through(c: Column, m: list[float]) -> Column:
     light = [linear(red(c)), linear(green(c)), linear(blue(c))]
+    return pack(alpha(c), *[encoded(sum((F.lit(m[3 * row + k]) * light[k] for k in range(1, 3)), F.lit(m[3 * row]) * light[0])) for row in range(3)])
+
+
+def accessible(c: Column, against: Column, ratio: float = 4.5, steps: int = 24) -> Column:
+    """The colour, moved in linear light towards white (over what is darker than
+    half) or black as little as the contrast asks, by bisection; null if even
+    white or black falls short."""
+
+    def found(s: Column) -> Column:
+        lighter = luminance(s["q"]) < 0.5
+
+        def shifted(t: Column) -> Column:
+            mixed = lambda v: F.when(lighter, v + (1.0 - v) * t).otherwise(v * (1.0 - t))
+            return pack(alpha(s["c"]), *[encoded(mixed(linear(f(s["c"])))) for f in (red, green, blue)])
+
+        def halved(acc: Column, _: Column) -> Column:
+            mid = (acc["lo"] + acc["hi"]) / 2.0
+
+            def judged(p: Column) -> Column:
+                enough = contrast(p, s["q"]) >= ratio
+                return F.struct(F.when(enough, acc["lo"]).otherwise(mid).alias("lo"), F.when(enough, mid).otherwise(acc["hi"]).alias("hi"), F.when(enough, p).otherwise(acc["best"]).alias("best"))
+
+            return let(shifted(mid), judged)
 
-    def back(row: int) -> Column:
-        v = sum((F.lit(m[3 * row + k]) * light[k] for k in range(1, 3)), F.lit(m[3 * row]) * light[0])
-        v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-        s = F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
-        return clamp8(F.floor(s * 255.0 + 0.5).cast("int"))
+        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(None).cast("int").alias("best"))
+        best = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halved)["best"]
+        end = F.when(lighter, F.lit(WHITE)).otherwise(F.lit(BLACK))
+        return F.when(contrast(s["c"], s["q"]) >= ratio, s["c"]).otherwise(F.coalesce(best, F.when(contrast(end, s["q"]) >= ratio, end)))
 
-    return pack(alpha(c), back(0), back(1), back(2))
+    return let(F.struct(c.alias("c"), against.alias("q")), found)
 
 
 BLENDS: dict[str, Callable[[Column, Column], Column]] = {

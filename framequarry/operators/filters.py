@@ -117,36 +117,42 @@ def box_blurred(frames: DataFrame, size: int = 3, passes: int = 1, edge: str = "
     return frames
 
 
-def box_resampled(frames: DataFrame, w: int, h: int) -> DataFrame:
-    """Each new pixel is the mean of the area that it covers, colours weighted by
-    alpha."""
+def _area_mean(r: Raster, x: Column, y: Column, w: Column, h: Column) -> Column:
+    kx, ky = r.w / w, r.h / h
+    x0, x1, y0, y1 = x * kx, (x + 1) * kx, y * ky, (y + 1) * ky
 
-    def pixel(r: Raster, x: Column, y: Column) -> Column:
-        kx, ky = r.w / w, r.h / h
-        x0, x1, y0, y1 = x * kx, (x + 1) * kx, y * ky, (y + 1) * ky
+    def places(lo: Column, hi: Column, most: Column) -> Column:
+        cells = F.sequence(F.floor(lo).cast("int"), F.least(most, F.ceil(hi).cast("int")) - 1)
+        return F.filter(F.transform(cells, lambda i: F.struct(i.alias("i"), (F.least(hi, (i + 1).cast("double")) - F.greatest(lo, i.cast("double"))).alias("k"))), lambda s: s["k"] > 0)
 
-        def places(lo: Column, hi: Column, most: Column) -> Column:
-            cells = F.sequence(F.floor(lo).cast("int"), F.least(most, F.ceil(hi).cast("int")) - 1)
-            return F.filter(F.transform(cells, lambda i: F.struct(i.alias("i"), (F.least(hi, (i + 1).cast("double")) - F.greatest(lo, i.cast("double"))).alias("k"))), lambda s: s["k"] > 0)
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "wargb"])
 
-        zero = F.struct(*[F.lit(0.0).alias(c) for c in "wargb"])
+    def add(acc: Column, t: Column) -> Column:
+        a = C.alpha(t["p"]).cast("double")
+        return F.struct((acc["w"] + t["k"]).alias("w"), (acc["a"] + a * t["k"]).alias("a"), *[(acc[n] + f(t["p"]) * (a / 255.0) * t["k"]).alias(n) for n, f in (("r", C.red), ("g", C.green), ("b", C.blue))])
 
-        def add(acc: Column, t: Column) -> Column:
-            a = C.alpha(t["p"]).cast("double")
-            return F.struct((acc["w"] + t["k"]).alias("w"), (acc["a"] + a * t["k"]).alias("a"), *[(acc[n] + f(t["p"]) * (a / 255.0) * t["k"]).alias(n) for n, f in (("r", C.red), ("g", C.green), ("b", C.blue))])
+    def packed(s: Column) -> Column:
+        a = _byte(s["a"] / s["w"])
+        over = F.when(s["a"] <= 0, F.lit(1.0)).otherwise(s["a"])
+        return F.when((s["w"] <= 0) | (a == 0) | (s["a"] <= 0), F.lit(0)).otherwise(C.pack(a, *[C.clamp8((s[c] / over * 255.0).cast("int")) for c in "rgb"]))
 
-        def packed(s: Column) -> Column:
-            a = _byte(s["a"] / s["w"])
-            over = F.when(s["a"] <= 0, F.lit(1.0)).otherwise(s["a"])
-            return F.when((s["w"] <= 0) | (a == 0) | (s["a"] <= 0), F.lit(0)).otherwise(C.pack(a, *[C.clamp8((s[c] / over * 255.0).cast("int")) for c in "rgb"]))
+    def cells(v: Column) -> Column:
+        return F.flatten(F.transform(v["ys"], lambda b: F.transform(v["xs"], lambda a: F.struct((a["k"] * b["k"]).alias("k"), r.at(a["i"], b["i"]).alias("p")))))
 
-        def cells(v: Column) -> Column:
-            return F.flatten(F.transform(v["ys"], lambda b: F.transform(v["xs"], lambda a: F.struct((a["k"] * b["k"]).alias("k"), r.at(a["i"], b["i"]).alias("p")))))
+    taps = C.let(F.struct(places(x0, x1, r.w).alias("xs"), places(y0, y1, r.h).alias("ys")), cells)
+    return C.let(F.aggregate(taps, zero, add), packed)
+
+
+def box_resampled(frames: DataFrame, w: int, h: int) -> DataFrame:
+    """Each new pixel is the mean of the area that it covers, colours weighted by
+    alpha."""
+    return on_grid(frames, lambda r: F.lit(w), lambda r: F.lit(h), lambda r, x, y: _area_mean(r, x, y, F.lit(w), F.lit(h)))
 
-        taps = C.let(F.struct(places(x0, x1, r.w).alias("xs"), places(y0, y1, r.h).alias("ys")), cells)
-        return C.let(F.aggregate(taps, zero, add), packed)
 
-    return on_grid(frames, lambda r: F.lit(w), lambda r: F.lit(h), pixel)
+def area_means(r: Raster, w: Column, h: Column) -> Column:
+    """A raster resampled by area to w x h, as a struct w, h, pixels."""
+    cells = F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: _area_mean(r, (i % w).cast("int"), C.idiv(i, w), w, h))
+    return F.struct(w.alias("w"), h.alias("h"), cells.alias("pixels"))
 
 
 #: The eight neighbours in the order of their bits, from the north clockwise.

@@ -127,15 +127,21 @@ def pixel_at(frames: DataFrame, x: int, y: int) -> DataFrame:
     return frames.select("frame_id", F.when(inside, F.get("pixels", (F.lit(y) * F.col("w") + x).cast("int"))).otherwise(F.lit(0)).alias("argb"))
 
 
+def content(r: Column) -> Column:
+    """Struct x0, y0, x1, y1: the box of what is visible in a raster (a struct w,
+    h, pixels); nulls if nothing is."""
+    on = F.filter(F.transform(r["pixels"], lambda p, i: F.when(C.alpha(p) > 0, i)), lambda i: i.isNotNull())
+
+    def box(s: Column) -> Column:
+        xs = F.transform(s, lambda i: (i % r["w"]).cast("int"))
+        return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), C.idiv(F.array_min(s), r["w"]).alias("y0"), C.idiv(F.array_max(s), r["w"]).alias("y1"))
+
+    return C.let(on, box)
+
+
 def trimmed(frames: DataFrame) -> DataFrame:
     """Each raster cut to the box of what is visible in it; a raster without
     anything visible stays as it is."""
-
-    def bounds(r: Column) -> Column:
-        on = F.filter(F.transform(r["pixels"], lambda p, i: F.when(C.alpha(p) > 0, i)), lambda i: i.isNotNull())
-        xs = F.transform(on, lambda i: (i % r["w"]).cast("int"))
-        return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), C.idiv(F.array_min(on), r["w"]).alias("y0"), C.idiv(F.array_max(on), r["w"]).alias("y1"))
-
     rest = [c for c in frames.columns if c not in ("w", "h", "pixels")]
 
     def cut(r: Column) -> Column:
@@ -144,7 +150,7 @@ def trimmed(frames: DataFrame) -> DataFrame:
             cells = F.transform(F.sequence(F.lit(0), w * h - 1), lambda i: F.get(r["pixels"], ((b["y0"] + C.idiv(i, w)) * r["w"] + b["x0"] + (i % w).cast("int")).cast("int")))
             return F.when(b["x0"].isNull(), r).otherwise(F.struct(w.cast("int").alias("w"), h.cast("int").alias("h"), cells.alias("pixels")))
 
-        return C.let(bounds(r), within)
+        return C.let(content(r), within)
 
     out = frames.select(*rest, C.let(F.struct("w", "h", "pixels"), cut).alias("__r"))
     return out.select(*rest, "__r.w", "__r.h", "__r.pixels")
@@ -162,7 +168,7 @@ def stencil(frames: DataFrame, f: Callable[[Column, Neighbour, Column, Column],
     return on_grid(frames, same_w, same_h, pixel)
 
 
-def _on(c: Column) -> Column:
+def visible(c: Column) -> Column:
     return F.coalesce(C.alpha(c), F.lit(0)) > 0
 
 
@@ -172,7 +178,7 @@ def dilate(frames: DataFrame, taps: list[tuple[int, int]] = SQUARE3) -> DataFram
 
     def rule(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
         best = F.array_max(F.array(*[F.struct(F.coalesce(C.alpha(n(dx, dy)), F.lit(0)).alias("a"), F.lit(-k).alias("k"), F.coalesce(n(dx, dy), F.lit(0)).alias("c")) for k, (dx, dy) in enumerate(taps)]))
-        return F.when(_on(p), p).otherwise(F.when(best["a"] > 0, best["c"]).otherwise(p))
+        return F.when(visible(p), p).otherwise(F.when(best["a"] > 0, best["c"]).otherwise(p))
 
     return stencil(frames, rule)
 
@@ -181,9 +187,9 @@ def erode(frames: DataFrame, taps: list[tuple[int, int]] = SQUARE3) -> DataFrame
     """A pixel stays if all taps lie inside and are opaque to some degree."""
 
     def rule(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
-        keep = _on(p)
+        keep = visible(p)
         for dx, dy in taps:
-            keep &= _on(n(dx, dy))
+            keep &= visible(n(dx, dy))
         return F.when(keep, p).otherwise(F.lit(0))
 
     return stencil(frames, rule)
@@ -205,8 +211,8 @@ def without_isolated(frames: DataFrame, only_orthogonal: bool = False) -> DataFr
     def rule(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
         some = F.lit(False)
         for dx, dy in taps:
-            some |= _on(n(dx, dy))
-        return F.when(_on(p) & ~some, F.lit(0)).otherwise(p)
+            some |= visible(n(dx, dy))
+        return F.when(visible(p) & ~some, F.lit(0)).otherwise(p)
 
     return stencil(frames, rule)
 
@@ -219,10 +225,10 @@ def outline_mask(frames: DataFrame, taps: list[tuple[int, int]] = SQUARE3) -> Da
     """What an erosion takes away."""
 
     def rule(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
-        keep = _on(p)
+        keep = visible(p)
         for dx, dy in taps:
-            keep &= _on(n(dx, dy))
-        return F.when(_on(p) & ~keep, p).otherwise(F.lit(0))
+            keep &= visible(n(dx, dy))
+        return F.when(visible(p) & ~keep, p).otherwise(F.lit(0))
 
     return stencil(frames, rule)
 
@@ -371,7 +377,7 @@ def audited(frames: DataFrame, tolerance: int = 0) -> DataFrame:
         some = F.lit(False)
         for dx, dy in SQUARE3:
             some |= same(p, n(dx, dy))
-        return _on(p) & ~some
+        return visible(p) & ~some
 
     def corner(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
         tr, bl, br = n(1, 0), n(0, 1), n(1, 1)
@@ -380,16 +386,16 @@ def audited(frames: DataFrame, tolerance: int = 0) -> DataFrame:
 
     def checker(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
         tr, bl, br = n(1, 0), n(0, 1), n(1, 1)
-        return F.coalesce(_on(p) & (p == br) & ~(_on(tr) & (tr == p)) & ~(_on(bl) & (bl == p)) & ~(_on(tr) & _on(bl) & (tr == bl)), F.lit(False))
+        return F.coalesce(visible(p) & (p == br) & ~(visible(tr) & (tr == p)) & ~(visible(bl) & (bl == p)) & ~(visible(tr) & visible(bl) & (tr == bl)), F.lit(False))
 
     def zigzag(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
         straight, slant = F.lit(False), F.lit(False)
         for dx, dy in SQUARE3:
             if dx and dy:
-                slant |= _on(n(dx, dy))
+                slant |= visible(n(dx, dy))
             else:
-                straight |= _on(n(dx, dy))
-        return _on(p) & ~straight & slant
+                straight |= visible(n(dx, dy))
+        return visible(p) & ~straight & slant
 
     found = {"isolated_pixel": isolated, "broken_corner": corner, "accidental_checker": checker, "stair_zigzag": zigzag}
     flags = stencil(frames, lambda p, n, x, y: F.struct(p.alias("argb"), *[f(p, n, x, y).alias(k) for k, f in found.items()]))
@@ -406,8 +412,8 @@ def grown(frames: DataFrame, colour: int, iterations: int = 1) -> DataFrame:
     def rule(p: Column, n: Neighbour, x: Column, y: Column) -> Column:
         some = F.lit(False)
         for dx, dy in CROSS3:
-            some |= _on(n(dx, dy))
-        return F.when(~_on(p) & some, F.lit(colour)).otherwise(p)
+            some |= visible(n(dx, dy))
+        return F.when(~visible(p) & some, F.lit(colour)).otherwise(p)
 
     for _ in range(iterations):
         frames = stencil(frames, rule)

@@ -8,9 +8,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from framequarry.plans import catalogue, chains, further, projects
+from framequarry.plans import catalogue, chains, further, motion, projects
 
-assert chains and further and projects  # they add their queries to the catalogue
+assert chains and further and motion and projects  # they add their queries to the catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
