@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,3 +273,50 @@ for _feature, _rule in (("nearest", "d[1]"), ("second", "d[2]"), ("border", "d[2
         _POINTS + f", va AS (SELECT k, x, y, {_rule} AS v FROM di), gr AS (SELECT k, x, y, CAST(trunc(least(1.0::DOUBLE, v * (1 / max(v) OVER (PARTITION BY k))) * 255 + 0.5::DOUBLE) AS BIGINT) AS g FROM va) SELECT k - 1 AS frame_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {Q.pack('255', 'g', 'g', 'g')} AS argb FROM gr",
     )
 
+
+# compositing, fingerprints, holes, resampling: SQL for queries of the catalogue
+_OPS = [int(np.float32(0.1 * (k + 1)) * np.float32(255)) if k != 4 else 0 for k in range(10)]
+_ENDS = ", ".join(f"({k}, {op})" for k, op in enumerate(_OPS) if op)
+SQL["composite"] = (
+    Q.PX
+    + f""", ce AS MATERIALIZED (SELECT f, place, x, y, s, {Q.a('s')} * op // 255 AS sa FROM (SELECT frame_id // 10 AS f, tag AS layer, x, y, arg_min(argb, frame_id) AS s FROM px GROUP BY ALL) JOIN (VALUES {_ENDS}) o(place, op) ON layer = place),
+ st(f, x, y, place, d) AS (SELECT DISTINCT frame_id // 10, x, y, 0, 0 FROM px UNION ALL SELECT st.f, st.x, st.y, st.place + 1, CAST(CASE WHEN sa IS NULL OR sa = 0 THEN d ELSE {Q.over('s', 'd', '{s}', 'sa')} END AS INTEGER) FROM st LEFT JOIN ce ON ce.f = st.f AND ce.x = st.x AND ce.y = st.y AND ce.place = st.place WHERE st.place < 10)
+ SELECT f AS frame_id, x, y, d AS argb FROM st WHERE place = 10"""
+)
+SQL["fingerprint"] = (
+    Q.PX
+    + f""", li AS (SELECT frame_id, list(CAST(CASE WHEN {A} = 0 THEN 0 ELSE CAST(argb AS BIGINT) & 4294967295 END AS UHUGEINT) ORDER BY y, x) AS v, count(*) FILTER ({A} > 0) AS visible FROM px GROUP BY ALL)
+ SELECT frame_id, lower(lpad(hex(CAST(list_reduce(list_concat([{_big(0x9E3779B97F4A7C15)}], v, [8::UHUGEINT, 8::UHUGEINT, visible::UHUGEINT]), lambda h, e: xor(h, e) * {_big(0x100000001B3)} % {_WRAP}) AS UBIGINT)), 16, '0')) AS digest, CAST(visible AS INTEGER) AS visible FROM li"""
+)
+
+
+def _ring(k: int) -> str:
+    """Holes that touch something visible take its commonest colour."""
+    return f""", v{k} AS (SELECT p.frame_id, p.x, p.y, n.argb, count(*) AS c FROM f{k} p JOIN f{k} n ON n.frame_id = p.frame_id AND abs(n.x - p.x) + abs(n.y - p.y) = 1 WHERE p.hole AND {Q.a('n.argb')} > 0 GROUP BY ALL),
+ b{k} AS (SELECT frame_id, x, y, arg_max(argb, (c, argb)) AS best FROM v{k} GROUP BY ALL), f{k + 1} AS MATERIALIZED (SELECT frame_id, x, y, coalesce(best, argb) AS argb, hole AND best IS NULL AS hole FROM f{k} LEFT JOIN b{k} USING (frame_id, x, y))"""
+
+
+SQL["fill_holes"] = (
+    Q.PX
+    + f""", ou(frame_id, x, y) AS (SELECT frame_id, x, y FROM px WHERE {A} = 0 AND (x IN (0, 7) OR y IN (0, 7)) UNION SELECT n.frame_id, n.x, n.y FROM ou o JOIN px n ON n.frame_id = o.frame_id AND abs(n.x - o.x) + abs(n.y - o.y) = 1 AND {Q.a('n.argb')} = 0),
+ f0 AS MATERIALIZED (SELECT px.frame_id, px.x, px.y, argb, {A} = 0 AND ou.x IS NULL AS hole FROM px LEFT JOIN ou USING (frame_id, x, y))"""
+    + "".join(map(_ring, range(4)))
+    + " SELECT frame_id, x, y, argb FROM f4"
+)
+
+
+def _covered(name: str, n: int) -> str:
+    """Which of 8 cells each of n new ones covers, and how much of them."""
+    step = f"{8 / n!r}::DOUBLE"
+    return f"{name} AS (SELECT t.v AS t, c.v AS c, least((t.v + 1) * {step}, c.v + 1.0::DOUBLE) - greatest(t.v * {step}, c.v::DOUBLE) AS k FROM (SELECT unnest(range(0, {n})) AS v) t, (SELECT unnest(range(0, 8)) AS v) c WHERE least((t.v + 1) * {step}, c.v + 1.0::DOUBLE) - greatest(t.v * {step}, c.v::DOUBLE) > 0)"
+
+
+_FOLD = "list_reduce(list_prepend(0.0::DOUBLE, list({e} ORDER BY y, x)), lambda p, q: p + q)"
+_PARTS = ", ".join(f"{_FOLD.format(e=f'{v} * ({A} / 255.0::DOUBLE) * k')} AS s{c}" for c, v in (("r", R), ("g", G), ("b", B)))
+_MEANS = [Q.clamp(f"CAST(trunc(s{c} / sa * 255.0::DOUBLE) AS BIGINT)") for c in "rgb"]
+SQL["box_resample"] = (
+    Q.PX
+    + f""", {_covered('cx', 5)}, {_covered('cy', 3)}, tp AS (SELECT frame_id, cx.t AS tx, cy.t AS ty, x, y, argb, cx.k * cy.k AS k FROM px JOIN cx ON cx.c = x JOIN cy ON cy.c = y),
+ su AS (SELECT frame_id, tx, ty, {_FOLD.format(e='k')} AS sw, {_FOLD.format(e=f'{A} * k')} AS sa, {_PARTS} FROM tp GROUP BY ALL), al AS (SELECT *, {Q.clamp('CAST(trunc(sa / sw + 0.5::DOUBLE) AS BIGINT)')} AS av FROM su)
+ SELECT frame_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, CASE WHEN sa <= 0 OR av = 0 THEN 0 ELSE {Q.pack('av', *_MEANS)} END AS argb FROM al"""
+)

@@ -33,7 +33,9 @@ def b(c: str) -> str:
 
 
 def pack(alpha: str, red: str, green: str, blue: str) -> str:
-    return f"CAST((CASE WHEN ({alpha}) >= 128 THEN ({alpha}) - 256 ELSE ({alpha}) END) * 16777216 + ({red}) * 65536 + ({green}) * 256 + ({blue}) AS INTEGER)"
+    """Channels joined bit by bit, as a signed number: one of 256 reaches into the next."""
+    whole = " | ".join(f"(CAST({v} AS BIGINT) << {k})" for v, k in ((alpha, 24), (red, 16), (green, 8), (blue, 0)))
+    return f"CAST(xor({whole}, 2147483648) - 2147483648 AS INTEGER)"
 
 
 def clamp(v: str) -> str:
