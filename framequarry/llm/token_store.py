@@ -18,7 +18,7 @@ free slots; buckets of one key take the free slots that are left over.
 
 Nulls: a null text is empty, so it has the end id alone. Rows with a null key
 come first, count as ids before the others, and can't be looked up. Of rows with
-equal keys the index finds the first; all are stored and read back.
+equal keys the index finds the first in each shard; all are stored and read back.
 """
 
 from __future__ import annotations
@@ -182,17 +182,23 @@ def _pack(path: str, end_id: int, shard_ids: int):
 
 def write(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> DataFrame:
     """Write the ids of docs, in ascending order of the key, as a table of shards
-    in the shared folder, and return it with `start`: the number of ids before
-    each shard. A shard has shard_ids ids and one chunk of texts at most more."""
+    in the shared folder, and return it. A shard has shard_ids ids and one chunk
+    of texts at most more. Rows of one key or without a key are in the order of
+    their texts' hashes, by which such a group is dealt to many tasks too."""
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    dealt = base.repartitionByRange("__id").sortWithinPartitions("__id")
-    shards = stored(dealt.mapInArrow(_pack(path, end_id, shard_ids), _SHARD), "shards")
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # a row for each task that wrote
+    order = ["__id", "__hash"]
+    dealt = base.withColumn("__hash", F.xxhash64("__text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.drop("__hash").mapInArrow(_pack(path, end_id, shard_ids), _SHARD), "shards")
+
+
+def starts(shards: DataFrame) -> DataFrame:
+    """(part, seq, before): how many ids come before each shard. Reads no payload."""
+    sizes = shards.select("part", "seq", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # a row for each task that wrote
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before.alias("__before"))
     within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "seq", within.alias("__within")).join(parts, "part").select("part", "seq", (F.col("__before") + F.col("__within")).alias("start"))
-    return shards.join(starts.hint("shuffle_hash"), ["part", "seq"])
+    return sizes.select("part", "seq", within.alias("__within")).join(parts, "part").select("part", "seq", (F.col("__before") + F.col("__within")).alias("before"))
 
 
 class Shard:
@@ -228,13 +234,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError("an index doesn't find a key of its shard")
             wide = shard.ids.astype("<u4")
             crc = [zlib.crc32(wide[a : a + n]) for a, n in zip(start.tolist(), count.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(row["start"] + start), pa.array(count), pa.array(crc, pa.int64())], ["__id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start), pa.array(count), pa.array(crc, pa.int64()), *[pa.array([row[c]] * len(keys), pa.int32()) for c in ("part", "seq")]], ["__id", "at", "n_tokens", "ids_crc32", "part", "seq"])
 
 
 def contents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, each found through
-    the index of its shard."""
-    return shards.mapInArrow(_read, "__id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("__id", id_col)
+    the index of its shard. The places of the shards meet the documents' rows,
+    so no payload is shuffled."""
+    own = shards.mapInArrow(_read, "__id long, at long, n_tokens long, ids_crc32 long, part int, seq int")
+    return own.join(starts(shards), ["part", "seq"]).select(F.col("__id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(shards: DataFrame, keys: list[int], id_col: str = "doc_id") -> DataFrame:
