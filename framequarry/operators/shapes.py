@@ -82,6 +82,70 @@ def star(cx: int, cy: int, outer: int, inner: int, tips: int = 5) -> list[tuple[
     return closed_path([(cx + r * np.cos(np.pi * k / tips), cy + r * np.sin(np.pi * k / tips)) for k, r in enumerate(radii)])
 
 
+def ellipse(x: int, y: int, w: int, h: int, filled: bool) -> list[tuple[int, int]]:
+    """The midpoint ellipse in a box; filled: each row from its first to its last
+    point. A box one pixel wide or high is a line."""
+    if not (1 <= w <= 65_536 and 1 <= h <= 65_536) or filled and w * h > MOST_POINTS:
+        raise ValueError("the ellipse's size is out of bounds")
+    if 1 in (w, h):
+        return rect(x, y, w, h, True)
+    rx, ry = w // 2, h // 2
+    i, j, whole, quarter = 0, ry, 4 * rx * rx * ry * ry, []
+    while ry * ry * i < rx * rx * j:  # flatter than 45 degrees: a point a column
+        quarter.append((i, j))
+        i, j = i + 1, j - (4 * ry * ry * (i + 1) ** 2 + rx * rx * (2 * j - 1) ** 2 >= whole)
+    while j > 0:  # steeper: a point a row
+        quarter.append((i, j))
+        i, j = i + (ry * ry * (2 * i + 1) ** 2 + 4 * rx * rx * (j - 1) ** 2 <= whole), j - 1
+    quarter.append((i, 0))
+    edge = {(x + rx + sx * i, y + ry + sy * j) for i, j in quarter for sx in (1, -1) for sy in (1, -1)}
+    if not filled:
+        return sorted(edge)
+    reach: dict[int, int] = {}
+    for i, j in quarter:
+        reach[j] = max(i, reach.get(j, 0))
+    return sorted({(x + rx + k, y + ry + sy * j) for j, i in reach.items() for k in range(-i, i + 1) for sy in (1, -1)})
+
+
+def thick_line(x0: int, y0: int, x1: int, y1: int, thickness: int) -> list[tuple[int, int]]:
+    """Lines side by side, each moved across by a whole step; a line of no length
+    is a square."""
+    if not 1 <= thickness <= 256:
+        raise ValueError("the thickness is 1 to 256")
+    half, length = (thickness - 1) // 2, float(np.hypot(x1 - x0, y1 - y0))
+    if not length:
+        return rect(x0 - half, y0 - half, thickness, thickness, True)
+    nearest = lambda v: int(np.floor(v + 0.5))
+    moves = [(nearest((k - half) * (y0 - y1) / length), nearest((k - half) * (x1 - x0) / length)) for k in range(thickness)]
+    return list(dict.fromkeys(p for dx, dy in moves for p in line(x0 + dx, y0 + dy, x1 + dx, y1 + dy)))
+
+
+def arc(cx: int, cy: int, radius: int, start: float, sweep: float) -> list[tuple[int, int]]:
+    """Part of a circle from an angle over a sweep, in degrees, as short lines
+    between points a pixel or four degrees apart at most."""
+    if radius < 0:
+        raise ValueError("the radius is 0 or more")
+    if not sweep:
+        return []
+    steps = min(65_536, max(1, int(np.ceil(abs(sweep) / min(4.0, 57.29577951308232 / max(radius, 1))))))
+    turn = np.radians(start + sweep * np.arange(steps + 1) / steps)
+    at = [(int(x), int(y)) for x, y in zip(np.floor(cx + radius * np.cos(turn) + 0.5), np.floor(cy + radius * np.sin(turn) + 0.5), strict=True)]
+    return list(dict.fromkeys([at[0], *(p for a, b in zip(at, at[1:], strict=False) for p in line(*a, *b))]))
+
+
+def rounded_rect(x: int, y: int, w: int, h: int, radius: int) -> list[tuple[int, int]]:
+    """The edge of a rectangle whose corners are quarters of midpoint circles."""
+    if w < 1 or h < 1 or 2 * (w + h) > MOST_POINTS or not 0 <= radius <= min(w, h) // 2:
+        raise ValueError("the rectangle's size or radius is out of bounds")
+    if not radius:
+        return rect(x, y, w, h, False)
+    right, low, r = x + w - 1, y + h - 1, radius
+    sides = {(i, j) for i in range(x + r, right - r + 1) for j in (y, low)} | {(i, j) for j in range(y + r + 1, low - r) for i in (x, right)}
+    quarter = [(i, j) for i, j in circle(0, 0, r, False) if i >= 0 and j >= 0]
+    corners = {(cx + sx * i, cy + sy * j) for cx, sx in ((right - r, 1), (x + r, -1)) for cy, sy in ((low - r, 1), (y + r, -1)) for i, j in quarter}
+    return sorted(sides | corners)
+
+
 def curves(table: DataFrame, steps: int = 32) -> DataFrame:
     """(frame_id, ord, x, y, argb): samples of quadratic curves x0, y0 to x2, y2
     with the control point x1, y1; each point once, negative ones dropped."""
@@ -92,7 +156,7 @@ def curves(table: DataFrame, steps: int = 32) -> DataFrame:
     return sampled.where("x >= 0 and y >= 0").distinct()
 
 
-def _points(kind: str, a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+def _points(kind: str, a: int, b: int, c: int, d: int, e: int) -> list[tuple[int, int]]:
     if kind == "line":
         return line(a, b, c, d)
     if kind in ("rect", "rect_filled"):
@@ -103,6 +167,14 @@ def _points(kind: str, a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
         return polygon(a, b, c, d)
     if kind == "star":
         return star(a, b, c, d)
+    if kind in ("ellipse", "ellipse_filled"):
+        return ellipse(a, b, c, d, kind == "ellipse_filled")
+    if kind == "thick_line":
+        return thick_line(a, b, c, d, e)
+    if kind == "arc":
+        return arc(a, b, c, d, e)
+    if kind == "rounded_rect":
+        return rounded_rect(a, b, c, d, e)
     raise ValueError(f"no shape {kind!r}")
 
 
@@ -110,15 +182,20 @@ def points(shapes: DataFrame) -> DataFrame:
     """(frame_id, ord, x, y, argb) of a table of shapes: line a, b to c, d; rect
     and rect_filled at a, b of the size c, d; circle and circle_filled round a, b
     of the radius c; polygon round a, b of the radius c with d sides; star of five
-    tips round a, b of the radii c and d. Points of negative coordinates are dropped."""
+    tips round a, b of the radii c and d; ellipse and ellipse_filled in the box at
+    a, b of the size c, d; with a column e: thick_line a, b to c, d of the thickness
+    e, arc round a, b of the radius c from d over e degrees, rounded_rect at a, b of
+    the size c, d and the radius e. Points of negative coordinates are dropped."""
+    if "e" not in shapes.columns:
+        shapes = shapes.withColumn("e", F.lit(0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in batch.itertuples(index=False):
-                own = [(x, y) for x, y in _points(s.kind, int(s.a), int(s.b), int(s.c), int(s.d or 0)) if x >= 0 and y >= 0]
+                own = [(x, y) for x, y in _points(s.kind, int(s.a), int(s.b), int(s.c), int(s.d), int(s.e)) if x >= 0 and y >= 0]
                 yield pd.DataFrame({"frame_id": s.frame_id, "ord": s.ord, "x": [p[0] for p in own], "y": [p[1] for p in own], "argb": s.argb})
 
-    return shapes.na.fill(0, ["d"]).mapInPandas(run, "frame_id long, ord long, x int, y int, argb int")
+    return shapes.na.fill(0, ["d", "e"]).mapInPandas(run, "frame_id long, ord long, x int, y int, argb int")
 
 
 def drawn(frames: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ import math
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..operators import motion
+from ..operators import motion, shapes
 from ..sources import frames as S
 from ..sources import noise
 from . import sql as Q
@@ -320,3 +320,83 @@ SQL["box_resample"] = (
  su AS (SELECT frame_id, tx, ty, {_FOLD.format(e='k')} AS sw, {_FOLD.format(e=f'{A} * k')} AS sa, {_PARTS} FROM tp GROUP BY ALL), al AS (SELECT *, {Q.clamp('CAST(trunc(sa / sw + 0.5::DOUBLE) AS BIGINT)')} AS av FROM su)
  SELECT frame_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, CASE WHEN sa <= 0 OR av = 0 THEN 0 ELSE {Q.pack('av', *_MEANS)} END AS argb FROM al"""
 )
+
+
+# lines and what is made of them
+def _lines(table: str, key: str) -> str:
+    """ln(key, x, y): the points of the lines of table(key, x0, y0, x1, y1), by
+    Bresenham's rule; negative ones dropped."""
+    return f""", wk({key}, x, y, err, x1, y1, dx, dy, sx, sy) AS (SELECT {key}, x0, y0, abs(x1 - x0) - abs(y1 - y0), x1, y1, abs(x1 - x0), -abs(y1 - y0), CASE WHEN x0 < x1 THEN 1 ELSE -1 END, CASE WHEN y0 < y1 THEN 1 ELSE -1 END FROM {table}
+ UNION ALL SELECT {key}, CASE WHEN 2 * err >= dy THEN x + sx ELSE x END, CASE WHEN 2 * err <= dx THEN y + sy ELSE y END, err + CASE WHEN 2 * err >= dy THEN dy ELSE 0 END + CASE WHEN 2 * err <= dx THEN dx ELSE 0 END, x1, y1, dx, dy, sx, sy FROM wk WHERE x <> x1 OR y <> y1),
+ ln AS (SELECT DISTINCT {key}, x, y FROM wk WHERE x >= 0 AND y >= 0)"""
+
+
+def _whole(v: str) -> str:
+    return f"CAST(floor({v} + 0.5::DOUBLE) AS INTEGER)"
+
+
+_SIDES = "CASE WHEN p_partkey % 2 = 0 THEN 3 + p_partkey % 9 ELSE 10 END"
+_REACH = "CASE WHEN p_partkey % 2 = 0 OR k % 2 = 0 THEN p_size ELSE 3 + p_partkey % 9 END"
+_TURN = f"{2 * math.pi!r}::DOUBLE * k / sides"
+SQL["polygon_points"] = (
+    f"""WITH RECURSIVE co AS (SELECT frame_id, k, sides, {_whole(f'(60 + reach * cos({_TURN}))')} AS x, {_whole(f'(60 + reach * sin({_TURN}))')} AS y FROM (SELECT p_partkey AS frame_id, k, {_SIDES} AS sides, {_REACH} AS reach FROM part, (SELECT unnest(range(0, 12)) AS k)) WHERE k < sides),
+ sg AS (SELECT a.frame_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM co a JOIN co b ON b.frame_id = a.frame_id AND b.k = (a.k + 1) % a.sides)"""
+    + _lines("sg", "frame_id")
+    + " SELECT frame_id, 0 AS ord, x, y, -1 AS argb FROM ln"
+)
+
+
+def _shape(name: str, kind: str, columns: list[str], sql: str) -> None:
+    """A shape for each part: its columns a to e as expressions over the part."""
+
+    def made(s: SparkSession, d: str) -> DataFrame:
+        own = [F.expr(f"CAST({e} AS INT)").alias(c) for c, e in zip("abcde", columns, strict=False)]
+        table = S.table(s, d, "part").select(F.col("p_partkey").alias("frame_id"), F.lit(0).cast("long").alias("ord"), F.lit(kind).alias("kind"), *own, F.lit(-1).alias("argb"))
+        return shapes.points(table).select("frame_id", "x", "y")
+
+    add(name, made, sql)
+
+
+_K = "p_partkey % 9"
+_MOVE = "(t - (th - 1) // 2)"
+_shape(
+    "thick_lines",
+    "thick_line",
+    ["10", "p_partkey % 40", "p_size", "20", "1 + p_partkey % 9"],
+    f"""WITH RECURSIVE pa AS (SELECT p_partkey AS frame_id, 10 AS a, CAST(p_partkey % 40 AS INTEGER) AS b, p_size AS c, 20 AS d, CAST(1 + {_K} AS INTEGER) AS th FROM part), of AS (SELECT *, sqrt(CAST((c - a) * (c - a) + (d - b) * (d - b) AS DOUBLE)) AS len FROM pa, (SELECT CAST(unnest(range(0, 9)) AS INTEGER) AS t) WHERE t < th),
+ mv AS (SELECT *, CASE WHEN len = 0 THEN 0 ELSE {_whole(f'({_MOVE} * (b - d) / len)')} END AS mx, CASE WHEN len = 0 THEN 0 ELSE {_whole(f'({_MOVE} * (c - a) / len)')} END AS my FROM of), sg AS (SELECT frame_id, a + mx AS x0, b + my AS y0, c + mx AS x1, d + my AS y1 FROM mv WHERE len > 0
+ UNION ALL SELECT frame_id, a - (th - 1) // 2, b + t - (th - 1) // 2, a - (th - 1) // 2 + th - 1, b + t - (th - 1) // 2 FROM mv WHERE len = 0)"""
+    + _lines("sg", "frame_id")
+    + " SELECT frame_id, x, y FROM ln",
+)
+_shape(
+    "arcs",
+    "arc",
+    ["40", "30", "p_size", "p_partkey % 360", "p_partkey % 300 - 100"],
+    f"""WITH RECURSIVE pa AS (SELECT p_partkey AS frame_id, p_size AS r, p_partkey % 360 AS st, p_partkey % 300 - 100 AS sw FROM part), ns AS (SELECT *, greatest(1, CAST(ceil(abs(sw) / least(4.0::DOUBLE, 57.29577951308232::DOUBLE / greatest(r, 1))) AS INTEGER)) AS n FROM pa WHERE sw <> 0),
+ co AS (SELECT *, {_whole(f'(40 + r * cos((st + sw * k / n::DOUBLE) * ({math.pi!r}::DOUBLE / 180)))')} AS x, {_whole(f'(30 + r * sin((st + sw * k / n::DOUBLE) * ({math.pi!r}::DOUBLE / 180)))')} AS y FROM ns, (SELECT unnest(range(0, 400)) AS k) WHERE k <= n),
+ sg AS (SELECT a.frame_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM co a JOIN co b ON b.frame_id = a.frame_id AND b.k = a.k + 1)"""
+    + _lines("sg", "frame_id")
+    + " SELECT frame_id, x, y FROM ln",
+)
+_ELLIPSE = """WITH RECURSIVE el AS (SELECT p_partkey AS frame_id, 5 AS x, 4 AS y, p_size AS w, CAST(2 + p_partkey % 31 AS INTEGER) AS h FROM part), r AS (SELECT *, CAST(w // 2 AS BIGINT) AS rx, CAST(h // 2 AS BIGINT) AS ry FROM el WHERE w > 1),
+ wk(frame_id, cx, cy, rx, ry, i, j) AS (SELECT frame_id, x + rx, y + ry, rx, ry, 0::BIGINT, ry FROM r
+ UNION ALL SELECT frame_id, cx, cy, rx, ry, CASE WHEN ry * ry * i < rx * rx * j THEN i + 1 WHEN ry * ry * (2 * i + 1) * (2 * i + 1) + 4 * rx * rx * (j - 1) * (j - 1) <= 4 * rx * rx * ry * ry THEN i + 1 ELSE i END,
+ CASE WHEN ry * ry * i >= rx * rx * j THEN j - 1 WHEN 4 * ry * ry * (i + 1) * (i + 1) + rx * rx * (2 * j - 1) * (2 * j - 1) >= 4 * rx * rx * ry * ry THEN j - 1 ELSE j END FROM wk WHERE j > 0 OR ry * ry * i < rx * rx * j),
+ ed AS (SELECT DISTINCT frame_id, cx + s.v * i AS x, cy + t.v * j AS y FROM wk, (VALUES (1), (-1)) s(v), (VALUES (1), (-1)) t(v) UNION SELECT frame_id, x, y + k FROM el, (SELECT unnest(range(0, 40)) AS k) WHERE w = 1 AND k < h)"""
+_BOX = ["5", "4", "p_size", "2 + p_partkey % 31"]
+_shape("ellipses", "ellipse", _BOX, _ELLIPSE + " SELECT frame_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM ed WHERE x >= 0 AND y >= 0")
+_shape("ellipses_filled", "ellipse_filled", _BOX, _ELLIPSE + ", sp AS (SELECT frame_id, y, min(x) AS lo, max(x) AS hi FROM ed GROUP BY ALL) SELECT frame_id, CAST(v AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM sp, (SELECT unnest(range(0, 80)) AS v) WHERE v BETWEEN lo AND hi AND y >= 0")
+_QUARTER = """, wk(r, i, j, e) AS (SELECT v, 0, v, 1 - v FROM (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS v) UNION ALL SELECT r, i + 1, CASE WHEN e < 0 THEN j ELSE j - 1 END, CASE WHEN e < 0 THEN e + 2 * i + 3 ELSE e + 2 * (i - j) + 5 END FROM wk WHERE i <= j),
+ qu AS (SELECT r, i, j FROM wk WHERE i <= j UNION SELECT r, j, i FROM wk WHERE i <= j)"""
+_shape(
+    "rounded_rects",
+    "rounded_rect",
+    ["3", "2", "12 + p_size", "11 + p_partkey % 20", "1 + p_partkey % 5"],
+    "WITH RECURSIVE pa AS (SELECT p_partkey AS frame_id, 3 AS x, 2 AS y, CAST(14 + p_size AS INTEGER) AS rt, CAST(12 + p_partkey % 20 AS INTEGER) AS lo, CAST(1 + p_partkey % 5 AS INTEGER) AS r FROM part)"
+    + _QUARTER
+    + """, al AS (SELECT frame_id, CAST(v AS INTEGER) AS px, q AS py FROM pa, (SELECT unnest(range(0, 90)) AS v), (SELECT unnest([0, 1]) AS z), LATERAL (SELECT CASE z WHEN 0 THEN y ELSE lo END AS q) WHERE v BETWEEN x + r AND rt - r
+ UNION SELECT frame_id, CASE z WHEN 0 THEN x ELSE rt END, CAST(v AS INTEGER) FROM pa, (SELECT unnest(range(0, 90)) AS v), (SELECT unnest([0, 1]) AS z) WHERE v BETWEEN y + r + 1 AND lo - r - 1
+ UNION SELECT frame_id, CASE z WHEN 0 THEN x + pa.r - i ELSE rt - pa.r + i END, CASE u WHEN 0 THEN y + pa.r - j ELSE lo - pa.r + j END FROM pa JOIN qu USING (r), (SELECT unnest([0, 1]) AS z), (SELECT unnest([0, 1]) AS u))
+ SELECT frame_id, px AS x, py AS y FROM al""",
+)
