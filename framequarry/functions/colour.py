@@ -265,6 +265,27 @@ def accessible(c: Column, against: Column, ratio: float = 4.5, steps: int = 24)
     return let(F.struct(c.alias("c"), against.alias("q")), found)
 
 
+#: Temperatures by name, in kelvin.
+TEMPERATURES = {"candle": 1800.0, "tungsten": 2700.0, "sunset": 3200.0, "fluorescent": 4200.0, "daylight": 5600.0, "noon": 6500.0, "overcast": 7000.0, "shade": 9000.0, "blue_sky": 15000.0}
+
+
+def black_body(kelvin: Column) -> Column:
+    """The opaque colour of a black body from 1000 to 40000 kelvin, by the usual
+    piecewise fit, whose numbers are fixed values."""
+    t = F.least(F.lit(40000.0), F.greatest(F.lit(1000.0), kelvin)) / 100.0
+    cool = t <= 66
+    r = F.when(cool, F.lit(255.0)).otherwise(329.698727446 * F.pow(t - 60.0, F.lit(-0.1332047592)))
+    g = F.when(cool, 99.4708025861 * F.log(t) - 161.1195681661).otherwise(288.1221695283 * F.pow(t - 60.0, F.lit(-0.0755148492)))
+    b = F.when(t >= 66, F.lit(255.0)).when(t <= 19, F.lit(0.0)).otherwise(138.5177312231 * F.log(t - 10.0) - 305.0447927307)
+    return pack(F.lit(255), *[(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v)) + 0.5).cast("int") for v in (r, g, b)])
+
+
+def preset_temperature(name: Column) -> Column:
+    """The colour of a temperature by its name in any case; null for others."""
+    known = F.create_map(*[F.lit(v) for pair in TEMPERATURES.items() for v in pair])
+    return let(F.try_element_at(known, F.lower(name)), lambda k: F.when(k.isNotNull(), black_body(k)))
+
+
 BLENDS: dict[str, Callable[[Column, Column], Column]] = {
     "normal": lambda s, d: s,
     "multiply": lambda s, d: idiv(s * d + 127, 255),

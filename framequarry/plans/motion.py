@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import colour as C
 from ..operators import motion, shapes
 from ..sources import frames as S
-from ..sources import noise
+from ..sources import noise, palettes
 from . import sql as Q
 from .catalogue import PALETTE, SQL, A, B, G, R, _lab, add, as_pixels, on_frames, per_pixel
 from .further import _LABS, _SHADES, _from_lab, shades
@@ -400,3 +400,26 @@ _shape(
  UNION SELECT frame_id, CASE z WHEN 0 THEN x + pa.r - i ELSE rt - pa.r + i END, CASE u WHEN 0 THEN y + pa.r - j ELSE lo - pa.r + j END FROM pa JOIN qu USING (r), (SELECT unnest([0, 1]) AS z), (SELECT unnest([0, 1]) AS u))
  SELECT frame_id, px AS x, py AS y FROM al""",
 )
+
+
+# temperatures and names of formats
+_T = "(least(40000.0::DOUBLE, greatest(1000.0::DOUBLE, k)) / 100)"
+_BODY = [
+    f"CASE WHEN {_T} <= 66 THEN 255.0::DOUBLE ELSE 329.698727446::DOUBLE * pow({_T} - 60, -0.1332047592::DOUBLE) END",
+    f"CASE WHEN {_T} <= 66 THEN 99.4708025861::DOUBLE * ln({_T}) - 161.1195681661::DOUBLE ELSE 288.1221695283::DOUBLE * pow({_T} - 60, -0.0755148492::DOUBLE) END",
+    f"CASE WHEN {_T} >= 66 THEN 255.0::DOUBLE WHEN {_T} <= 19 THEN 0.0::DOUBLE ELSE 138.5177312231::DOUBLE * ln({_T} - 10) - 305.0447927307::DOUBLE END",
+]
+_BODY_COLOUR = Q.pack("255", *[f"trunc(least(255.0::DOUBLE, greatest(0.0::DOUBLE, {v})) + 0.5::DOUBLE)" for v in _BODY])
+add("black_body", lambda s, d: s.range(420).select((F.col("id") * 100).alias("kelvin"), C.black_body(F.col("id") * 100.0).alias("colour")), f"SELECT kelvin, {_BODY_COLOUR} AS colour FROM (SELECT v * 100 AS kelvin, v * 100.0::DOUBLE AS k FROM (SELECT unnest(range(0, 420)) AS v))")
+_NAMED = ", ".join(f"('{n}', {k!r}::DOUBLE)" for n, k in C.TEMPERATURES.items())
+add(
+    "temperature_presets",
+    lambda s, d: s.createDataFrame([(n.upper(),) for n in [*C.TEMPERATURES, "moon"]], "name string").select("name", F.coalesce(C.preset_temperature(F.col("name")), F.lit(0)).alias("colour")),
+    f"SELECT upper(name) AS name, {_BODY_COLOUR} AS colour FROM (VALUES {_NAMED}) n(name, k) UNION ALL SELECT 'MOON', 0",
+)
+_HEADS = {"png": "89504E470D0A1A0A", "gif": "474946383961", "qoi": "716F6966", "bmp": "424D", "ico": "00000100", "aseprite": "00000000E0A50100", "unknown": "4D5A"}
+add(
+    "format_names",
+    lambda s, d: s.createDataFrame(list(_HEADS.items()), "made string, head string").select("made", palettes.format_name(palettes.sniffed(F.unhex("head"))).alias("name")),
+    "SELECT made, name FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in palettes.FORMAT_NAMES.items()) + ") n(made, name)",
+)

@@ -69,3 +69,21 @@ def sniffed(content: Column) -> Column:
         .when((F.length(head) == 16) & (F.substring(head, 9, 4) == "E0A5") & (F.substring(head, 13, 4) != "0000"), "aseprite")
         .otherwise("unknown")
     )
+
+
+#: Formats as they are shown to people.
+FORMAT_NAMES = {
+    "png": "PNG (Portable Network Graphics)",
+    "gif": "GIF (Graphics Interchange Format)",
+    "qoi": "QOI (Quite OK Image)",
+    "bmp": "BMP (Windows bitmap)",
+    "aseprite": "Aseprite sprite (.ase/.aseprite)",
+    "ico": "ICO (Windows icon container)",
+    "unknown": "unknown format",
+}
+
+
+def format_name(kind: Column) -> Column:
+    """A format that `sniffed` found, in words."""
+    known = F.create_map(*[F.lit(v) for pair in FORMAT_NAMES.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, kind), F.lit(FORMAT_NAMES["unknown"]))
