@@ -56,3 +56,40 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 
 QUALITY = _quality()
+
+
+def _crc32(codes: str) -> str:
+    """The CRC-32 of a list of bytes, bit by bit; 3988292384 is its polynomial."""
+    bit = "xor(x >> 1, (x & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: {bit})), 4294967295)"
+
+
+def _codes(text: str) -> str:
+    """The UTF-8 bytes of a text up to U+07FF, as numbers."""
+    return f"flatten(list_transform(list_transform(string_split({text}, ''), lambda l: unicode(l)::BIGINT), lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))"
+
+
+PREFIX_TRIE = f"""WITH o AS (SELECT conv_id AS c, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, r, sha256(t)) AS ts
+ FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+h AS (SELECT c, ts, {_crc32(_codes('c::VARCHAR'))} % 4 AS h FROM o),
+r AS (SELECT h.c, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o AS b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, len(ts) AS n, d, ts[1:d] AS k, ts[d] AS last FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+m AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(len({_WORDS.replace('t,', "coalesce(last.t, ''),")})) AS w,
+ sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY d, k),
+x AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM m WHERE d > 0 GROUP BY ALL),
+g AS (SELECT m.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * w AS v FROM m LEFT JOIN x ON x.d = m.d AND x.k = m.k),
+s AS (SELECT a AS d, k[1:a] AS k, sum(v) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT k, v, n_children, unnest(range(0, d + 1)) AS a FROM g) GROUP BY ALL)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, g.n_convs, g.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN s ON s.d = g.d AND s.k = g.k LEFT JOIN g AS up ON up.d = g.d - 1 AND up.k = g.k[1:g.d - 1]"""
+
+SPELLING = f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]{{6,}}')) AS run FROM documents),
+h AS (SELECT run, {_crc32(_codes("coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM r),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+v AS (SELECT word, length(word) AS l, count(*) AS n FROM w GROUP BY word HAVING length(word) >= 6 AND count(*) >= 5),
+x AS (SELECT word, l, n, i, word[1:i] || word[i + 2:] AS cut FROM (SELECT *, unnest(range(0, l)) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near, b.n FROM x AS a JOIN x AS b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM v AS a JOIN x AS b ON a.word = b.cut UNION SELECT b.word, a.word, a.n FROM v AS a JOIN x AS b ON a.word = b.cut),
+f AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS form, max(n) AS form_n FROM e GROUP BY word),
+g AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word)),
+c AS (WITH RECURSIVE t(word, root) AS (SELECT word, word FROM g UNION ALL SELECT t.word, g.form FROM t JOIN g ON g.word = t.root WHERE g.form IS NOT NULL) SELECT t.word, t.root FROM t JOIN g ON g.word = t.root WHERE g.form IS NULL)
+SELECT g.word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM g JOIN c USING (word)"""

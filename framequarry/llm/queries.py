@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adapters, bpe, chroma, mixing, oracle, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_store, tool_calls
+from . import adapters, bpe, chroma, mixing, oracle, prefix_trie, quality, resharding, simhash, spelling, substring_dedup, suffix_dedup, token_counts, token_store, tool_calls
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,5 +90,28 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"))
+    return spelling.forms(words)
+
+
+@query
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = resharding.laid(docs, F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8")), F.lit(5)), 5)
+    new = resharding.resharded(old, 8)
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return resharding.contents(new).select("doc_id", F.col("__size").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), grown)
+
+
 SQL["op2_quality_rules"] = oracle.QUALITY
 SQL["op5_substring_dedup"] = oracle.SUBSTRING
+SQL["op11_prefix_trie"] = oracle.PREFIX_TRIE
+SQL["op12_spelling"] = oracle.SPELLING
