@@ -8,7 +8,8 @@ the row's place, some `block_bytes` each. `resharded` then
    are given; an arc from a shard to itself costs nothing, any other its bytes
    (`cost` may say otherwise, as for racks). Shortest augmenting paths, with the
    number of shards as the size of the problem, never that of the table;
-2. lays the flow's arcs along each old shard's blocks by their running sum: a block
+2. lays the flow's arcs along each old shard's blocks by their running sum, blocks
+   with the largest rows first, where what stays lies and few arcs end: a block
    within one arc stays or moves as a whole, and only blocks that an arc's end falls
    into (fewer than arcs) are divided, by their rows: the largest that still fit
    go first, so a cut misses its place by less than the least row left;
@@ -55,7 +56,7 @@ class Layout:
 
 @dataclass(frozen=True)
 class Resharded:
-    """files: __shard, __old, __block, __kept (as it lay), rows, bytes, first
+    """files: __shard, __old, __block, __kept (as it lay), rows, bytes, __first
     (slot of its first row). flow[i][j]: bytes from old shard i to new shard j."""
 
     old: Layout
@@ -124,7 +125,7 @@ def laid(docs: DataFrame, shard: Column, shards: int, text_col: str = "text", bl
     own = dealt.withColumn("__at", at).drop("__row")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     own.write.partitionBy(*_PIECE).parquet(path)
-    blocks = spark.read.schema(schema).parquet(path).groupBy(*_PIECE).agg(F.count("*").alias("rows"), F.sum("__size").alias("bytes"))
+    blocks = spark.read.schema(schema).parquet(path).groupBy(*_PIECE).agg(F.count("*").alias("rows"), F.sum("__size").alias("bytes"), F.max("__size").alias("widest"))
     return Layout(spark, path, schema, sizes, stored(blocks, "blocks"))
 
 
@@ -173,7 +174,7 @@ def resharded(old: Layout, shards: int, capacity: list[int] | None = None, cost:
                 arcs.append((i, j, low, low + row[j]))
                 low += row[j]
     plan = spark.createDataFrame(arcs, "o int, target int, low long, high long")
-    start = F.sum("bytes").over(Window.partitionBy("__old").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.sum("bytes").over(Window.partitionBy("__old").orderBy(F.col("widest").desc(), "__block").rowsBetween(Window.unboundedPreceding, -1))
     placed = old.blocks.withColumn("start", F.coalesce(start, F.lit(0).cast("long")))
     over = (F.col("o") == F.col("__old")) & (F.col("low") < F.col("start") + F.col("bytes")) & (F.col("high") > F.col("start"))
     amount = F.least("high", F.col("start") + F.col("bytes")) - F.greatest("low", "start")
@@ -194,17 +195,17 @@ def resharded(old: Layout, shards: int, capacity: list[int] | None = None, cost:
     tally = moved.groupBy("__shard", *_PIECE).agg(F.count("*").alias("rows"), F.sum("__size").alias("bytes")).withColumn("__kept", F.lit(False))
     all_ = whole.where("__shard = __old").withColumn("__kept", F.lit(True)).unionByName(tally)
     before = F.sum("rows").over(Window.partitionBy("__shard").orderBy(*_PIECE).rowsBetween(Window.unboundedPreceding, -1))
-    all_ = all_.withColumn("first", F.coalesce(before, F.lit(0).cast("long")))
+    all_ = all_.withColumn("__first", F.coalesce(before, F.lit(0).cast("long")))
     return Resharded(old, path, stored(all_, "files"), flow)
 
 
 def contents(new: Resharded) -> DataFrame:
     """The rows of all shards, with __size, __shard and __slot."""
     spark, schema = new.old.spark, new.old.schema
-    kept = spark.read.schema(schema).parquet(new.old.path).join(new.files.where("__kept").select(*_PIECE, "__shard", "first"), _PIECE)
+    kept = spark.read.schema(schema).parquet(new.old.path).join(new.files.where("__kept").select(*_PIECE, "__shard", "__first"), _PIECE)
     moved = spark.read.schema(f"{schema}, __shard int").parquet(new.moved)
-    moved = moved.join(new.files.where("not __kept").select("__shard", *_PIECE, "first"), ["__shard", *_PIECE])
-    slot = (F.col("first") + F.col("__at")).cast("long").alias("__slot")
+    moved = moved.join(new.files.where("not __kept").select("__shard", *_PIECE, "__first"), ["__shard", *_PIECE])
+    slot = (F.col("__first") + F.col("__at")).cast("long").alias("__slot")
     own = [F.col(f"`{f.name}`") for f in spark.createDataFrame([], schema).schema if not f.name.startswith("__")]
     shape = [*own, "__size", "__shard", slot]
     return kept.select(*shape).union(moved.select(*shape))
