@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .components import components
 from .storage import stored
+from .survivors import key, survivors
 
 _UNIT, _UNITS = 8, 8
 #: Cost of verifying a candidate pair, in lookups of a value.
@@ -202,21 +203,30 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     return index.alias("x").join(probes.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """(id, fp, component_id), one row per row of docs; component_id is the
-    least id among all rows that are reached over links, the row included."""
-    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+def _classes(fps: DataFrame, distance: int) -> DataFrame:
+    """fps: __id, fp. The same with winner, the least __id among all rows that
+    are reached over links, the row included."""
+    fps = stored(fps, "fingerprints")
+    nodes = stored(fps.groupBy("fp").agg(F.min("__id").alias("least")), "nodes")
     groups = components(links(nodes.select("fp"), distance))
     tied = nodes.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     tied = stored(tied, "tied")
-    named = tied.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = tied.join(named, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select(id_col, "fp", "component_id")
+    named = tied.groupBy("component").agg(F.min("least").alias("winner"))
+    of = tied.join(named, "component").select("fp", "winner")
+    return fps.join(of, "fp").select("__id", "fp", "winner")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """(id, fp, component_id), one row per row of docs; component_id is the
+    least id among all rows that are reached over links, the row included."""
+    found = _classes(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "__id"), distance)
+    return found.select(F.col("__id").alias(id_col), "fp", F.col("winner").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """docs without the rows whose component has a smaller id (of rows that
-    share the smallest id, all stay; rows with a null id stay)."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, distance).where(F.col(id_col) > F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of docs for each component: the one with the smallest id (null
+    last), of equal ids the one with the lesser hash of the text, of rows equal in
+    both any one. Rows are judged, not ids: a row that links to nothing stays
+    whatever other rows have its id, and a repeated row goes."""
+    keyed = docs.select(key(id_col, text_col).alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    return survivors(docs, _classes(fingerprints(keyed, "__id", "__text", shingle), distance), id_col, text_col)

@@ -14,9 +14,12 @@ the longest chain, and a need that is settled is not looked at again.
 Arguments are checked against JSON schemas (type, required, properties,
 additionalProperties, enum, minimum, maximum, minLength, maxLength, items), and
 each call becomes one message in canonical JSON: keys sorted, no spaces, UTF-8,
-with lone surrogates escaped. Arguments that aren't JSON, hold numbers that JSON
-has no form for (NaN, infinity, 1e999) or are nested too deeply to be read are
-reported as `$: json` and stay a string in the message.
+with lone surrogates escaped, and one form for each number (1, 1.0 and 1e0 are
+`1`, -0.0 is `0`, others have their shortest decimal form). Arguments that aren't
+JSON, hold numbers that JSON has no form for (NaN, infinity, 1e999) or are nested
+more than 400 levels deep are reported as `$: json` and stay a string in the
+message. Where an object repeats a key, the last value counts and `$: repeated
+key` names it.
 
 Status: `linked`; `unanswered` (no result); `orphan` (a result without a call);
 `blocked` (it needs a call that doesn't exist, is blocked or needs it in turn);
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
+_DEEPEST = 400  # levels; what is deeper is no use as arguments, and Python's readers and writers give out somewhere beyond
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": (int, float)}
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
@@ -57,21 +63,42 @@ def _finite(text: str) -> float:
     return value if abs(value) < float("inf") else _refused(text)
 
 
-def parsed(arguments: str) -> object:
-    """The value of a JSON text; ValueError where there is none."""
-    try:
-        value = json.loads(arguments, parse_constant=_refused, parse_float=_finite)
-        json.dumps(value)  # what can be read can be written
-    except RecursionError:
-        raise ValueError("nested too deeply") from None
-    return value
+def _number(text: str) -> float | int:
+    value = _finite(text)
+    return int(value) if value.is_integer() else value
+
+
+def _depth(text: str) -> int:
+    """Levels of brackets outside strings."""
+    level = most = 0
+    for c in re.findall(r"[\[\]{}]", _STRING.sub("", text)):
+        level += 1 if c in "[{" else -1
+        most = max(most, level)
+    return most
+
+
+def parsed(arguments: str) -> tuple[object, list[str]]:
+    """The value of a JSON text, and the keys that an object repeats; ValueError
+    where there is no value or one that is nested too deeply."""
+    if _depth(arguments) > _DEEPEST:
+        raise ValueError("nested too deeply")
+    repeated: set[str] = set()
+
+    def object_(pairs: list[tuple[str, object]]) -> dict:
+        made = dict(pairs)
+        if len(made) < len(pairs):
+            repeated.update(k for k, n in Counter(k for k, _ in pairs).items() if n > 1)
+        return made
+
+    value = json.loads(arguments, parse_constant=_refused, parse_float=_number, object_pairs_hook=object_)
+    return value, sorted(repeated)
 
 
 def _is(value: object, kind: str) -> bool:
     if isinstance(value, bool):
         return kind == "boolean"
     whole = not isinstance(value, float) or value.is_integer()
-    return isinstance(value, _TYPES.get(kind, ())) and (kind != "integer" or whole)
+    return isinstance(kind, str) and isinstance(value, _TYPES.get(kind, ())) and (kind != "integer" or whole)
 
 
 def _equal(a: object, b: object) -> bool:
@@ -122,11 +149,12 @@ def _checked(schemas: dict[str, dict]):
                 own: list[str] = []
                 value: object = arguments
                 try:
-                    value = parsed(arguments) if arguments is not None else None
+                    value, repeated = parsed(arguments) if arguments is not None else (None, [])
+                    own = [f"$: repeated key {k}" for k in repeated]
+                    if name is not None:
+                        own += violations(value, schemas[name]) if name in schemas else ["name: unknown"]
                 except ValueError:
                     own = ["$: json"]
-                if not own and name is not None:
-                    own = violations(value, schemas[name]) if name in schemas else ["name: unknown"]
                 errors.append([_SURROGATE.sub("?", e) for e in own])
                 call = {"id": call_id, "type": "function", "function": {"name": name, "arguments": value}}
                 messages.append(canonical({"call": None if name is None and arguments is None else call, "result": content}))
