@@ -311,6 +311,7 @@ BAYER = {
     2: [0, 2, 3, 1],
     4: [0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5],
 }
+BAYER[8] = [4 * BAYER[4][y % 4 * 4 + x % 4] + BAYER[2][y // 4 * 2 + x // 4] for y in range(8) for x in range(8)]
 
 
 def snapped(p: Column, rgb: Column, palette: list[int]) -> Column:

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_EDGE, MOST_PIXELS = 16_384, 16_777_216
-_PNG = b"\x89PNG\r\n\x1a\n"
+PNG = b"\x89PNG\r\n\x1a\n"
 
 
 def sniffed(data: bytes) -> str | None:
-    for name, magic in (("png", _PNG), ("gif", b"GIF87a"), ("gif", b"GIF89a"), ("qoi", b"qoif"), ("bmp", b"BM"), ("ico", b"\0\0\1\0")):
+    for name, magic in (("png", PNG), ("gif", b"GIF87a"), ("gif", b"GIF89a"), ("qoi", b"qoif"), ("bmp", b"BM"), ("ico", b"\0\0\1\0")):
         if data.startswith(magic):
             return name
     return "aseprite" if data[4:6] == b"\xe0\xa5" else None
@@ -43,14 +43,30 @@ def _argb(rgba: np.ndarray) -> np.ndarray:
     return (v[..., 3] << 24 | v[..., 0] << 16 | v[..., 1] << 8 | v[..., 2]).view(np.int32)
 
 
+def chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def packed_rows(px: np.ndarray) -> bytes:
+    """Rows of 8-bit RGBA, compressed."""
+    h = len(px)
+    return zlib.compress(np.concatenate([np.zeros((h, 1), np.uint8), _rgba(px).reshape(h, -1)], axis=1).tobytes(), 9)
+
+
 def png_encode(px: np.ndarray) -> bytes:
     h, w = px.shape
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", packed_rows(px)) + chunk(b"IEND", b"")
+
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+#: The seven passes of an interlaced PNG: first column and row, steps of both.
+_PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
 
-    rows = np.concatenate([np.zeros((h, 1), np.uint8), _rgba(px).reshape(h, -1)], axis=1)
-    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 9)) + chunk(b"IEND", b"")
+
+def png_encode_interlaced(px: np.ndarray) -> bytes:
+    h, w = px.shape
+    parts = [px[y::dy, x::dx] for x, y, dx, dy in _PASSES]
+    rows = b"".join(b"\0" + line.tobytes() for p in parts if p.size for line in _rgba(p).reshape(len(p), -1))
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(rows, 9)) + chunk(b"IEND", b"")
 
 
 def _unfiltered(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
@@ -82,56 +98,82 @@ def _unfiltered(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
     return out[1:, step:]
 
 
-def png_decode(data: bytes) -> np.ndarray:
-    """Still images of all colour types, 8 and 16 bits or packed, not interlaced."""
-    at, head, body, palette, clear = 8, None, b"", None, None
-    if not data.startswith(_PNG):
+def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Kind and body of each chunk of a PNG, checked."""
+    if not data.startswith(PNG):
         raise ValueError("not a PNG")
+    at = 8
     while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
         if len(part) < n or zlib.crc32(kind + part) != int.from_bytes(data[at + 8 + n : at + 12 + n], "big"):
             raise ValueError(f"chunk {kind!r} is damaged")
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", part)
-            _checked(head[0], head[1])
-        elif kind == b"PLTE":
+        yield kind, part
+        if kind == b"IEND":
+            return
+        at += 12 + n
+
+
+def png_decode(data: bytes) -> np.ndarray:
+    """Still images of all colour types, 8 and 16 bits or packed, interlaced too."""
+    found = list(chunks(data))
+    head = next((p for k, p in found if k == b"IHDR"), None)
+    if head is None:
+        raise ValueError("no header")
+    return png_image(head, b"".join(p for k, p in found if k == b"IDAT"), [x for x in found if x[0] in (b"PLTE", b"tRNS")])
+
+
+def png_image(header: bytes, body: bytes, extra: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Pixels of a header's body, palette and transparency."""
+    w, h, depth, kind, _, _, laced = struct.unpack(">IIBBBBB", header)
+    _checked(w, h)
+    palette = clear = None
+    for name, part in extra:
+        if name == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
+        else:
             clear = part
-        elif kind == b"IDAT":
-            body += part
-        elif kind == b"IEND":
-            break
-        at += 12 + n
-    if head is None or head[6]:
-        raise ValueError("no header, or interlaced")
-    w, h, depth, kind = head[:4]
     parts = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
     if parts is None or depth not in (1, 2, 4, 8, 16):
         raise ValueError("unknown colour type")
-    stride = (w * parts * depth + 7) // 8
-    engine = zlib.decompressobj()
-    raw = engine.decompress(body, (stride + 1) * h)
-    if len(raw) != (stride + 1) * h:
+    if laced > 1:
+        raise ValueError("unknown interlacing")
+    boxes = [(slice(y, None, dy), slice(x, None, dx)) for x, y, dx, dy in _PASSES] if laced else [(slice(None), slice(None))]
+    whole = np.zeros((h, w), np.uint8)
+    sizes = [whole[b].shape for b in boxes]
+    bytes_of = lambda n: (n * parts * depth + 7) // 8
+    total = sum((bytes_of(n) + 1) * m for m, n in sizes if n)
+    raw = zlib.decompressobj().decompress(body, total)
+    if len(raw) != total:
         raise ValueError("too few rows")
-    rows = _unfiltered(raw, h, stride, max(1, parts * depth // 8))
-    if depth == 16:
-        rows = rows[:, ::2]
-    elif depth < 8:
-        bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)[:, : w * parts]
-        rows = (bits << np.arange(depth)[::-1]).sum(2).astype(np.uint8)
-        if kind == 0:
-            rows = rows * np.uint8(255 // ((1 << depth) - 1))
-    v = rows.reshape(h, w, parts)
+    v, at = np.zeros((h, w, parts), np.uint8), 0
+    deep = np.zeros((h, w, parts), np.uint16)
+    for box, (m, n) in zip(boxes, sizes, strict=True):
+        if not m or not n:
+            continue
+        stride = bytes_of(n)
+        rows = _unfiltered(raw[at : at + (stride + 1) * m], m, stride, max(1, parts * depth // 8))
+        at += (stride + 1) * m
+        if depth == 16:
+            deep[box] = rows.view(">u2").reshape(m, n, parts)
+            rows = rows[:, ::2]
+        elif depth < 8:
+            bits = np.unpackbits(rows, axis=1).reshape(m, -1, depth)[:, : n * parts]
+            rows = (bits << np.arange(depth)[::-1]).sum(2).astype(np.uint8)
+        v[box] = rows.reshape(m, n, parts)
     full = np.full((h, w), 255, np.uint8)
     if kind == 3:
         if palette is None or v.max(initial=0) >= len(palette):
             raise ValueError("a palette index is out of bounds")
         alpha = np.full(256, 255, np.uint8)
         if clear:
-            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
+            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)[:256]
         return _argb(np.dstack([palette[v[..., 0]], alpha[v[..., 0]]]))
+    if clear and kind in (0, 2):  # one colour is transparent, by its full depth
+        key = np.frombuffer(clear, ">u2")[: 1 if kind == 0 else 3]
+        full = np.where(((deep if depth == 16 else v)[..., : len(key)] == key).all(2), 0, 255).astype(np.uint8)
+    if kind == 0 and depth < 8:
+        v = v * np.uint8(255 // ((1 << depth) - 1))
     grey = {0: [v[..., 0]] * 3 + [full], 4: [v[..., 0]] * 3 + [v[..., -1]]}
     planes = grey.get(kind) or [*np.moveaxis(v[..., :3], 2, 0), v[..., 3] if kind == 6 else full]
     return _argb(np.dstack(planes))
@@ -231,7 +273,7 @@ def qoi_decode(data: bytes) -> np.ndarray:
     return _argb(np.array(out, np.uint8).reshape(h, w, 4))
 
 
-ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": png_encode, "bmp": bmp_encode, "qoi": qoi_encode}
+ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": png_encode, "png-interlaced": png_encode_interlaced, "bmp": bmp_encode, "qoi": qoi_encode}
 DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"png": png_decode, "bmp": bmp_decode, "qoi": qoi_decode}
 
 
