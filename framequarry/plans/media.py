@@ -194,9 +194,9 @@ on_frames(
     "picture_palettes",
     lambda fr: _pictures(fr).palettes,
     Q.PX
-    + f""", c AS (SELECT frame_id, argb, min(y * 8 + x) AS at FROM px WHERE {A} >= 128 GROUP BY ALL), n AS (SELECT DISTINCT frame_id FROM px),
+    + f""", c AS (SELECT frame_id, argb, min(y * 8 + x) AS met FROM px WHERE {A} >= 128 GROUP BY ALL), n AS (SELECT DISTINCT frame_id FROM px),
  g AS (SELECT frame_id, k, 65793 * k - 16777216 AS argb FROM n, (SELECT unnest(range(0, 256)) AS k) WHERE frame_id NOT IN (SELECT frame_id FROM c))
- SELECT frame_id AS project_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY at) - 1 AS INTEGER) AS idx, argb FROM c UNION ALL SELECT frame_id, CAST(k AS INTEGER), CAST(argb AS INTEGER) FROM g""",
+ SELECT frame_id AS project_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY met) - 1 AS INTEGER) AS idx, argb FROM c UNION ALL SELECT frame_id, CAST(k AS INTEGER), CAST(argb AS INTEGER) FROM g""",
 )
 on_frames("picture_cels", lambda fr: _cels(_pictures(fr).projects), Q.PX + "SELECT frame_id AS project_id, 0 AS frame_id, 0 AS layer_id, x, y, argb FROM px")
 on_frames(
