@@ -10,6 +10,8 @@ beside their raster; the fold runs in that row's task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,17 @@ OPS = (
 #: Limits of a batch.
 MOST_OPS, MOST_AREA, MOST_RADIUS, MOST_SPAN, MOST_THICKNESS = 64, 4_194_304, 65_536, 262_144, 16
 KINDS = ("pixel", "line", "rect", "circle", "stroke", "fill", "replace", "erase")
+#: The values that an operation can't do without, besides points.
+NEEDED = {
+    "pixel": ("x", "y", "argb"),
+    "line": ("x", "y", "x1", "y1", "argb"),
+    "rect": ("x", "y", "w", "h", "argb"),
+    "circle": ("x", "y", "radius", "argb"),
+    "stroke": ("argb",),
+    "fill": ("x", "y", "argb"),
+    "replace": ("argb", "to"),
+    "erase": (),
+}
 _FIELDS = ["idx", "kind", "x", "y", "x1", "y1", "w", "h", "radius", "filled", "argb", "to", "tolerance", "thickness", "points"]
 
 
@@ -38,13 +51,17 @@ def _reason(cw: Column, ch: Column) -> Column:
     x, y, x1, y1, w, h, r = (F.col(c).cast("long") for c in ("x", "y", "x1", "y1", "w", "h", "radius"))
     kind, count = F.col("kind"), F.coalesce(F.size("points"), F.lit(0))
     off = lambda a, b: (a < 0) | (b < 0) | (a >= cw) | (b >= ch)
-    some = F.exists(F.coalesce("points", F.array().cast("array<struct<x:int,y:int>>")), lambda p: off(p["x"], p["y"]))
+    points = F.coalesce("points", F.array().cast("array<struct<x:int,y:int>>"))
+    some = F.exists(points, lambda p: off(p["x"], p["y"]))
+    needed = [F.when(kind == k, reduce(or_, [F.col(c).isNull() for c in own], F.lit(False))) for k, own in NEEDED.items()]
+    missing = F.coalesce(*needed, F.lit(False)) | F.exists(points, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull())
     away = lambda a, b, c, d: (c < 0) | (a >= cw) | (d < 0) | (b >= ch)
     thickness = ~F.coalesce("thickness", F.lit(1)).between(1, MOST_THICKNESS)
     tolerance = F.coalesce("tolerance", F.lit(0)) < 0
     filled = F.coalesce("filled", F.lit(False))
     rules = [
         (~kind.isin(*KINDS) | kind.isNull(), "unknown kind"),
+        (missing, "a value is missing"),
         ((kind == "pixel") & off(x, y), "outside the canvas"),
         ((kind == "line") & thickness, "thickness out of bounds"),
         ((kind == "line") & (F.greatest(F.abs(x1 - x), F.abs(y1 - y)) > MOST_SPAN), "too long"),
@@ -78,7 +95,7 @@ def errors(ops: DataFrame, canvases: DataFrame) -> DataFrame:
     found = whole.select("batch_id", F.lit(-1).alias("idx"), wrong.alias("error"))
     sized = canvases.select("batch_id", F.col("w").alias("cw"), F.col("h").alias("ch"))
     each = ops.join(sized, "batch_id").select("batch_id", "idx", _reason(F.col("cw"), F.col("ch")).alias("reason"), "kind")
-    each = each.select("batch_id", "idx", F.concat(F.col("kind"), F.lit(": "), "reason").alias("error"))
+    each = each.select("batch_id", "idx", F.concat(F.coalesce("kind", F.lit("?")), F.lit(": "), "reason").alias("error"))
     first = F.min(F.struct("idx", "error")).alias("m")
     return found.union(each).where("error is not null").groupBy("batch_id").agg(first).select("batch_id", "m.idx", "m.error")
 
