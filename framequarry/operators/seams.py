@@ -3,8 +3,9 @@ and labels that touch across a seam are joined.
 
 Only pixels on the edges of tiles are shuffled for that. The graph has a node for
 each label at a seam; it stays a distributed table and is contracted until it no
-longer changes, each round cut off by a checkpoint. A raster that is one single
-component gives a node a tile and no large group: nodes meet their neighbours only.
+longer changes, each round cut off by a checkpoint. Nodes meet their neighbours, but
+roots are looked up by a join on the root: a raster that is one single component has
+one root for all its tiles, which only adaptive skew handling spreads.
 """
 
 from __future__ import annotations
