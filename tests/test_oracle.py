@@ -8,9 +8,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from framequarry.plans import batched, catalogue, chains, further, media, motion, projects
+from framequarry.plans import batched, catalogue, chains, further, media, motion, outlines, projects
 
-assert batched and chains and further and media and motion and projects  # they add their queries to the catalogue
+assert batched and chains and further and media and motion and outlines and projects  # they add their queries to the catalogue
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
