@@ -3,7 +3,10 @@
 
 from __future__ import annotations
 
-from ..operators import contours, seams
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import atlas, contours, seams
 from ..sources import frames as S
 from . import sql as Q
 from .catalogue import A, B, G, R, on_frames
@@ -41,3 +44,72 @@ on_frames(
     + """, sh AS (SELECT frame_id, x0, y0, hole, "left", x, y, coalesce(lead(x) OVER w, x0) AS x2, coalesce(lead(y) OVER w, y0) AS y2 FROM co WINDOW w AS (PARTITION BY frame_id, x0, y0 ORDER BY "left" DESC))
  SELECT frame_id, x0, y0, hole, max("left") AS length, count(*) AS corners, CAST(sum(x * y2 - x2 * y) // 2 AS BIGINT) AS area FROM sh GROUP BY ALL""",
 )
+
+
+# sheets: sixteen rasters of a tag to one, cut to what is visible
+def _sprites(fr: DataFrame) -> DataFrame:
+    return atlas.trimmed(atlas.sheeted(fr, 16))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    rest = [c for c in found.columns if c not in ("sheet", "original")]
+    return found.select("sheet.tag", F.col("sheet.no").alias("sheet"), *rest)
+
+
+def _on_sheets(fr: DataFrame, **options: bool) -> DataFrame:
+    sprites = _sprites(fr)
+    own = atlas.drawn(sprites, atlas.regions(sprites, 1, 1, **options), 1)
+    return S.pixels(own).select(F.col("frame_id.tag").alias("tag"), F.col("frame_id.no").alias("sheet"), "x", "y", "argb")
+
+
+def _meta(fr: DataFrame, format: str, trim: bool = True) -> DataFrame:
+    sprites = _sprites(fr) if trim else atlas.sheeted(fr, 16)
+    found = atlas.metadata(atlas.regions(sprites, 1, shelf=True), format)
+    return found.select("sheet.tag", F.col("sheet.no").alias("sheet"), "json")
+
+
+def _shelf(padding: int) -> str:
+    return (
+        Q.PX
+        + f""", pl AS (SELECT frame_id, tag, (row_number() OVER (PARTITION BY tag ORDER BY frame_id) - 1) AS k FROM (SELECT DISTINCT frame_id, tag FROM px)),
+ bb AS (SELECT frame_id, min(x) AS bx, min(y) AS by_, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh FROM px WHERE {A} > 0 GROUP BY ALL),
+ sp AS (SELECT pl.frame_id, tag, k // 16 AS sheet, k % 16 AS place, coalesce(bx, 0) AS bx, coalesce(by_, 0) AS by_, coalesce(bw, 8) AS w, coalesce(bh, 8) AS h, bx IS NOT NULL AS trimmed FROM pl LEFT JOIN bb USING (frame_id)),
+ la AS (SELECT *, {padding} + coalesce(sum(w + {2 * padding}) OVER (PARTITION BY tag, sheet ORDER BY h DESC, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, {padding} AS y, sum(w + {2 * padding}) OVER (PARTITION BY tag, sheet) AS sheet_w, max(h + {2 * padding}) OVER (PARTITION BY tag, sheet) AS sheet_h FROM sp)
+"""
+    )
+
+
+_CASTS = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ("place", "x", "y", "w", "h", "sheet_w", "sheet_h"))
+on_frames("atlas_shelf", lambda fr: _flat(atlas.packed(_sprites(fr), 1, shelf=True)), _shelf(1) + f" SELECT tag, CAST(sheet AS INTEGER) AS sheet, frame_id, {_CASTS}, false AS rotated FROM la")
+on_frames(
+    "atlas_shelf_sheets",
+    lambda fr: _on_sheets(fr, shelf=True),
+    _shelf(2)
+    + """, cv AS (SELECT DISTINCT tag, sheet, sheet_w, sheet_h FROM la), gd AS (SELECT tag, sheet, px_, py_ FROM cv, (SELECT unnest(range(0, 200)) AS px_), (SELECT unnest(range(0, 12)) AS py_) WHERE px_ < sheet_w AND py_ < sheet_h)
+ SELECT gd.tag, CAST(gd.sheet AS INTEGER) AS sheet, CAST(px_ AS INTEGER) AS x, CAST(py_ AS INTEGER) AS y, coalesce(p.argb, 0) AS argb FROM gd
+ LEFT JOIN la ON la.tag = gd.tag AND la.sheet = gd.sheet AND px_ BETWEEN la.x - 1 AND la.x + w AND py_ BETWEEN la.y - 1 AND la.y + h
+ LEFT JOIN px p ON p.frame_id = la.frame_id AND p.x = bx + least(w - 1, greatest(0, px_ - la.x)) AND p.y = by_ + least(h - 1, greatest(0, py_ - la.y))""",
+)
+on_frames(
+    "atlas_meta",
+    lambda fr: _meta(fr, "generic"),
+    _shelf(1)
+    + """ SELECT tag, CAST(sheet AS INTEGER) AS sheet, '{"frames":[' || string_agg('{"name":"' || frame_id || '","x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || ',"rotated":false}', ',' ORDER BY place) || '],"image":"atlas.png","meta":{"size":{"w":' || any_value(sheet_w) || ',"h":' || any_value(sheet_h) || '},"count":' || count(*) || '}}' AS json FROM la GROUP BY tag, sheet""",
+)
+on_frames(
+    "atlas_meta_phaser",
+    lambda fr: _meta(fr, "phaser"),
+    _shelf(1)
+    + """ SELECT tag, CAST(sheet AS INTEGER) AS sheet, '{"frames":{' || string_agg('"' || frame_id || '":{"frame":{"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || '},"rotated":false,"trimmed":' || trimmed || ',"spriteSourceSize":{"x":' || bx || ',"y":' || by_ || ',"w":' || w || ',"h":' || h
+ || '},"sourceSize":{"w":8,"h":8}}', ',' ORDER BY place) || '}}' AS json FROM la GROUP BY tag, sheet""",
+)
+on_frames(
+    "atlas_meta_tiled",
+    lambda fr: _meta(fr, "tiled", False),
+    Q.PX
+    + """ SELECT tag, CAST(k // 16 AS INTEGER) AS sheet, '{"columns":' || count(*) || ',"image":"atlas.png","imageheight":10,"imagewidth":' || count(*) * 10 || ',"margin":1,"spacing":' || CASE WHEN count(*) = 1 THEN 0 ELSE 2 END || ',"tilecount":' || count(*) || ',"tileheight":8,"tilewidth":8,"type":"tileset"}' AS json
+ FROM (SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY frame_id) - 1 AS k FROM (SELECT DISTINCT frame_id, tag FROM px)) GROUP BY ALL""",
+)
+#: Greedy packing is not for SQL: tests/test_atlas.py compares it with plain loops.
+on_frames("atlas_packed", lambda fr: _flat(atlas.packed(_sprites(fr), 1, turn=True, powers=True)))
+on_frames("atlas_sheets", lambda fr: _on_sheets(fr, turn=True))
