@@ -106,10 +106,10 @@ def blob_findings(frames: DataFrame, tiny: int = 3) -> DataFrame:
     return place(clusters, "tiny_cluster").unionByName(place(holes, "enclosed_hole"))
 
 
-def scores(frames: DataFrame, tiny: int = 3) -> DataFrame:
+def scores(frames: DataFrame, tiny: int = 3, tolerance: int = 0) -> DataFrame:
     """(frame_id, findings, score): 100 less the findings' penalties, in relation
     to the side of a square of as many visible pixels."""
-    found = raster.audited(frames).select("frame_id", "rule").unionByName(blob_findings(frames, tiny).select("frame_id", "rule"))
+    found = raster.audited(frames, tolerance).select("frame_id", "rule").unionByName(blob_findings(frames, tiny).select("frame_id", "rule"))
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in PENALTIES.items() for x in pair]), F.col("rule"))
     sums = found.groupBy("frame_id").agg(F.count("*").alias("findings"), F.sum(weight).alias("penalty"))
     seen = F.size(F.filter("pixels", lambda p: C.alpha(p) > 0))

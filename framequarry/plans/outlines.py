@@ -1,4 +1,4 @@
-"""Named queries of outlines and of sheets, with their SQL. They join those of
+"""Named queries of outlines, sheets and repairs, with their SQL. They join those of
 `catalogue`."""
 
 from __future__ import annotations
@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import atlas, contours, seams
+from ..operators import atlas, contours, healing, seams
 from ..sources import frames as S
 from . import sql as Q
 from .catalogue import A, B, G, R, on_frames
@@ -113,3 +113,7 @@ on_frames(
 #: Greedy packing is not for SQL: tests/test_atlas.py compares it with plain loops.
 on_frames("atlas_packed", lambda fr: _flat(atlas.packed(_sprites(fr), 1, turn=True, powers=True)))
 on_frames("atlas_sheets", lambda fr: _on_sheets(fr, turn=True))
+
+#: Repairs follow each other, which is not for SQL: tests/test_healing.py holds them against plain loops.
+on_frames("healed", lambda fr: healing.healed(fr).drop("w", "h", "pixels"))
+on_frames("healed_pixels", lambda fr: S.pixels(healing.healed(fr)))
