@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.frames import dealt
+
 MOST_POINTS = 4_194_304
+_POINTS_A_BATCH = 65_536
 SHAPES = "frame_id long, ord long, kind string, a int, b int, c int, d int, argb int"
 
 
@@ -189,13 +192,31 @@ def points(shapes: DataFrame) -> DataFrame:
     if "e" not in shapes.columns:
         shapes = shapes.withColumn("e", F.lit(0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.itertuples(index=False):
-                own = [(x, y) for x, y in _points(s.kind, int(s.a), int(s.b), int(s.c), int(s.d), int(s.e)) if x >= 0 and y >= 0]
-                yield pd.DataFrame({"frame_id": s.frame_id, "ord": s.ord, "x": [p[0] for p in own], "y": [p[1] for p in own], "argb": s.argb})
-
-    return shapes.na.fill(0, ["d", "e"]).mapInPandas(run, "frame_id long, ord long, x int, y int, argb int")
+            held, found = 0, []
+            for *of, kind, a, b, c, d, e, argb in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                own = np.array(_points(kind, a, b, c, d, e), np.int32).reshape(-1, 2)
+                own = own[(own >= 0).all(axis=1)]
+                found.append((*of, argb, own))
+                held += len(own)
+                if held >= _POINTS_A_BATCH:
+                    yield _batch(found)
+                    held, found = 0, []
+            if found:
+                yield _batch(found)
+
+    columns = ["frame_id", "ord", "kind", *[F.col(c).cast("int") for c in ("a", "b", "c", "d", "e", "argb")]]
+    return dealt(shapes.na.fill(0, ["d", "e"]).select(*columns)).mapInArrow(run, "frame_id long, ord long, x int, y int, argb int")
+
+
+def _batch(found: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of the points of some shapes: frame_id, ord, argb and points of each."""
+    frame, order, argb, own = zip(*found, strict=True)
+    at = np.repeat(np.arange(len(own)), [len(p) for p in own])
+    flat = np.concatenate(own)
+    columns = [pa.array(frame, pa.int64()).take(at), pa.array(order, pa.int64()).take(at), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(argb, pa.int32()).take(at)]
+    return pa.RecordBatch.from_arrays(columns, ["frame_id", "ord", "x", "y", "argb"])
 
 
 def drawn(frames: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -144,3 +144,17 @@ def test_shapes_with_five_numbers(spark):
     table = spark.createDataFrame([(1, 0, "thick_line", 0, 0, 2, 0, 2, RED), (1, 1, "arc", 0, 0, 2, 0, 90, BLUE)], "frame_id long, ord long, kind string, a int, b int, c int, d int, e int, argb int")
     out = {(r.x, r.y): r.argb for r in pixels(shapes.drawn(raster(spark, [[0] * 4] * 4), table)).collect()}
     assert out[0, 0] == RED and out[0, 2] == BLUE and out[3, 3] == 0
+
+
+def test_points_of_one_partition_are_dealt_out(spark):
+    kinds = [("line", 9, 2, 0, 7, 0), ("arc", 20, 5, 12, 30, -200), ("ellipse_filled", 1, 1, 9, 6, 0), ("star", 3, 3, 8, 2, None)]
+    rows = [(i, i % 5, *kinds[i % 4], -i) for i in range(40)]
+    table = spark.createDataFrame(rows, "frame_id long, ord long, kind string, a int, b int, c int, d int, e int, argb int").coalesce(1)
+    out = shapes.points(table)
+    assert out.rdd.getNumPartitions() > 1
+    want = {(i, o, x, y, argb) for i, o, *s, argb in rows for x, y in shapes._points(*s[:5], s[5] or 0) if x >= 0 and y >= 0}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert shapes.points(table.limit(0)).count() == 0
+    away = spark.createDataFrame([(1, 0, "line", -5, -5, -1, -1, 7)], "frame_id long, ord long, kind string, a int, b int, c int, d int, argb int")
+    assert shapes.points(away).count() == 0
