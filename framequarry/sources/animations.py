@@ -265,7 +265,7 @@ def _over(top: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.where(alpha[..., 0] > 0, out, 0)
 
 
-READERS = {"gif": gif_frames, "png": apng_frames}
+READERS = {"gif": gif_frames, "png": apng_frames, "png-interlaced": apng_frames}
 
 
 def decoded(files: DataFrame, id_col: str = "anim_id", content_col: str = "content") -> DataFrame:

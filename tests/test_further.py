@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framequarry.functions import harmony, names
 from framequarry.operators import effects, seams, shapes, vector
-from framequarry.sources import palettes
+from framequarry.sources import animations, codecs, palettes, sprites
 from framequarry.sources.frames import pixels
 
 RED, WHITE, BLACK = -65536, -1, -16777216
@@ -118,3 +118,19 @@ def test_components_cross_tiles(spark, kind):
     assert sorted(r.area for r in got) == _areas(on)
     if kind in ("snake", "full"):
         assert [(r.frame_id, r.x, r.y, r.width, r.height) for r in got] == [(1, 0, 0, w, h)]
+
+
+def test_interlaced_pngs_are_told_from_plain_ones(spark):
+    px = np.arange(12, dtype=np.int32).reshape(3, 4)
+    plain, woven = codecs.png_encode(px), codecs.png_encode_interlaced(px)
+    files = [(0, bytearray(plain)), (1, bytearray(woven)), (2, bytearray(woven[:20])), (3, bytearray(codecs.PNG)), (4, None)]
+    frame = spark.createDataFrame(files, "frame_id int, content binary")
+    found = palettes.sniffed(F.col("content"))
+    got = frame.select("frame_id", found.alias("kind"), palettes.format_name(found).alias("name")).orderBy("frame_id").collect()
+    assert [r.kind for r in got] == ["png", "png-interlaced", "png", "png", "unknown"]
+    assert [r.name[:3] for r in got] == ["PNG"] * 4 + ["unk"]
+    assert [codecs.sniffed(bytes(f or b"")) for _, f in files] == ["png", "png-interlaced", "png", "png", None]
+    back = {r.frame_id: r for r in codecs.decoded(frame, "frame_id").collect()}
+    assert back[0].pixels == back[1].pixels == px.ravel().tolist()
+    assert [r.error for r in animations.decoded(frame.where("frame_id < 2").withColumnRenamed("frame_id", "anim_id")).collect()] == [None, None]
+    assert [r["kind"] for r in sprites.records(woven, "x")] == [r["kind"] for r in sprites.records(plain, "x")] != ["error"]
