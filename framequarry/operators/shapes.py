@@ -6,11 +6,11 @@ covers a pixel wins, by partial aggregation over (frame, pixel).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.frames import dealt
@@ -149,14 +149,28 @@ def rounded_rect(x: int, y: int, w: int, h: int, radius: int) -> list[tuple[int,
     return sorted(sides | corners)
 
 
+def _each_once(shapes: DataFrame, keys: list[str], at: Callable[[Column], Column], steps: int) -> DataFrame:
+    """The distinct points (keys, x, y) of curves: at makes a point of a curve's row
+    out of a step. Equal curves are one. A curve that is alone under its keys has its
+    points told apart within its row, so no point is shuffled; only those of curves
+    that share their keys meet in a shuffle."""
+    n = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = shapes.repartition(n, *keys).distinct().withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    flat = own.select(*keys, "__n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(steps)), at))).alias("p"))
+    flat = flat.select(*keys, "__n", "p.x", "p.y").where("x >= 0 and y >= 0")
+    return flat.where("__n = 1").drop("__n").union(flat.where("__n > 1").drop("__n").distinct())
+
+
 def curves(table: DataFrame, steps: int = 32) -> DataFrame:
     """(frame_id, ord, x, y, argb): samples of quadratic curves x0, y0 to x2, y2
     with the control point x1, y1; each point once, negative ones dropped."""
-    t = F.col("k") / steps
-    u = 1.0 - t
-    at = [F.floor(u * u * F.col(f"{c}0") + 2.0 * u * t * F.col(f"{c}1") + t * t * F.col(f"{c}2") + 0.5).cast("int").alias(c) for c in "xy"]
-    sampled = table.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).select("frame_id", "ord", *at, "argb")
-    return sampled.where("x >= 0 and y >= 0").distinct()
+    def at(k: Column) -> Column:
+        t = k / steps
+        u = 1.0 - t
+        return F.struct(*[F.floor(u * u * F.col(f"{c}0") + 2.0 * u * t * F.col(f"{c}1") + t * t * F.col(f"{c}2") + 0.5).cast("int").alias(c) for c in "xy"])
+
+    own = table.select("frame_id", "ord", *[f"{c}{i}" for c in "xy" for i in range(3)], "argb")
+    return _each_once(own, ["frame_id", "ord", "argb"], at, steps).select("frame_id", "ord", "x", "y", "argb")
 
 
 def _points(kind: str, a: int, b: int, c: int, d: int, e: int) -> list[tuple[int, int]]:
@@ -248,12 +262,14 @@ def cubic(curves_: DataFrame, steps: int = 48) -> DataFrame:
     """curves_: keys and x0..x3, y0..y3. The distinct points (keys, x, y) of cubic
     curves, those below 0 left out."""
     keys = [c for c in curves_.columns if c not in {f"{a}{i}" for a in "xy" for i in range(4)}]
-    each = curves_.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    t = F.col("t") / float(steps)
-    u = 1.0 - t
-    weights = [u * u * u, 3.0 * u * u * t, 3.0 * u * t * t, t * t * t]
-    at = {a: F.floor(sum((w * F.col(f"{a}{i}") for i, w in enumerate(weights[1:], 1)), weights[0] * F.col(f"{a}0")) + 0.5).cast("int") for a in "xy"}
-    return each.select(*keys, at["x"].alias("x"), at["y"].alias("y")).where("x >= 0 and y >= 0").distinct()
+
+    def at(k: Column) -> Column:
+        t = k / float(steps)
+        u = 1.0 - t
+        weights = [u * u * u, 3.0 * u * u * t, 3.0 * u * t * t, t * t * t]
+        return F.struct(*[F.floor(sum((w * F.col(f"{a}{i}") for i, w in enumerate(weights[1:], 1)), weights[0] * F.col(f"{a}0")) + 0.5).cast("int").alias(a) for a in "xy"])
+
+    return _each_once(curves_, keys, at, steps)
 
 
 def polygons_filled(corners: DataFrame, keys: list[str], w: int, h: int) -> DataFrame:

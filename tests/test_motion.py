@@ -158,3 +158,22 @@ def test_points_of_one_partition_are_dealt_out(spark):
     assert shapes.points(table.limit(0)).count() == 0
     away = spark.createDataFrame([(1, 0, "line", -5, -5, -1, -1, 7)], "frame_id long, ord long, kind string, a int, b int, c int, d int, argb int")
     assert shapes.points(away).count() == 0
+
+
+def test_curves_that_share_their_keys_and_points(spark):
+    """Equal curves, curves of one key, null keys: each point once, and a curve alone
+    under its key is told apart in its row, not in a shuffle of points."""
+    own = [(1, 0, 3, 4, 9, 1, 20, 6, -1), (1, 0, 3, 4, 9, 1, 20, 6, -1), (1, 0, 3, 4, 9, 9, 20, 6, -1), (2, 0, 3, 4, 9, 1, 20, 6, -1), (None, 0, 0, -9, 5, 5, 7, 7, -1)]
+    table = spark.createDataFrame(own, "frame_id long, ord long, x0 int, y0 int, x1 int, y1 int, x2 int, y2 int, argb int")
+    want = set()
+    for f, o, x0, y0, x1, y1, x2, y2, argb in own:
+        for k in range(33):
+            t = k / 32
+            x, y = (math.floor((1 - t) * (1 - t) * a + 2 * (1 - t) * t * b + t * t * c + 0.5) for a, b, c in ((x0, x1, x2), (y0, y1, y2)))
+            want |= {(f, o, x, y, argb)} if x >= 0 and y >= 0 else set()
+    out = shapes.curves(table)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    alone = shapes.curves(table.where("frame_id = 2")).where("frame_id = 2").agg(F.count("*")).first()[0]
+    assert alone == sum(r[0] == 2 for r in want)
+    assert "array_distinct" in out._jdf.queryExecution().optimizedPlan().toString()
