@@ -141,7 +141,7 @@ add("cubic_points", _cubics, f"SELECT DISTINCT p_partkey AS shape, {_cubic_sql('
 
 
 def _corners(s: SparkSession, d: str) -> DataFrame:
-    part = S.table(s, d, "part").select(F.col("p_partkey").alias("shape"), F.col("p_size").alias("z"))
+    part = S.dealt(S.table(s, d, "part").select(F.col("p_partkey").alias("shape"), F.col("p_size").alias("z")))
     k = (F.col("shape") % 13).cast("int")
     corners = F.array(*[F.struct(F.lit(i).alias("ord"), x.cast("int").alias("x"), y.cast("int").alias("y")) for i, (x, y) in enumerate(((F.lit(2), k - 4), (F.col("z"), F.lit(3)), (F.lit(30), F.col("z")), (k, F.lit(25)), (F.lit(12), F.lit(9))))])
     return part.select("shape", F.explode(corners).alias("c")).select("shape", "c.*")
