@@ -11,10 +11,11 @@ counted, each offset is judged by the share of differing bits over the overlap,
 and of those that pass the fullest wins.
 
 Keys are bits of the integers of a step and the next (locality-sensitive
-hashing): each of `tables` masks keeps `bits` of the 64. Both follow from the
-number of classes, `bits` with its logarithm, so that chance meetings of a query
-don't grow with the table, and `tables` with its power 0.3, so that recall stays.
-Runs of one integer count once, as in silence. A key that many recordings hold
+hashing): each of `tables` masks keeps `bits` of the 64. Both are fixed, so
+whether two recordings meet depends on them alone, not on what else the table
+holds; chance meetings of a query therefore grow with the table, by some 2**-40 a
+pair of steps and table (more, as bits go together). `keys_for` gives other widths,
+for callers that would rather have recall follow the size. Runs of one integer count once, as in silence. A key that many recordings hold
 makes a vote for each query that holds it; votes are only counted.
 
 The keys are an approximation. Of 384 pairs of a tune and a noisy copy whose bits
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 STEPS = 12  # frames that a filter may span
+BITS, TABLES = 40, 16  # of the keys
 _BATCH = 64
 
 
@@ -136,11 +138,12 @@ def masks(bits: int, tables: int) -> list[int]:
 
 
 def keys_for(n: int) -> tuple[int, int]:
-    """Bits of a key and number of tables for n classes."""
+    """Bits of a key and number of tables by which a query's chance meetings stay
+    as they are while n grows; what is found then depends on n."""
     return min(64, max(16, round(2.5 * np.log2(max(n, 2))))), max(4, round(0.62 * max(n, 1) ** 0.3))
 
 
-def aligned(prints: DataFrame, queries: DataFrame, id_col: str = "id", max_error: float = 0.2, min_steps: int = 24, bits: int | None = None, tables: int | None = None) -> DataFrame:
+def aligned(prints: DataFrame, queries: DataFrame, id_col: str = "id", max_error: float = 0.2, min_steps: int = 24, bits: int = BITS, tables: int = TABLES) -> DataFrame:
     """prints: (id, prints), queries: ids. For each query the classes of
     recordings it aligns with, its own included: id, class_id (least id of the
     query's class), match_class, offset (steps from the match to the query),
@@ -150,8 +153,7 @@ def aligned(prints: DataFrame, queries: DataFrame, id_col: str = "id", max_error
     kind = prints.schema[id_col].dataType.simpleString()
     heads = named.where(F.col(id_col) == F.col("class_id")).select("class_id", "prints").dropDuplicates(["class_id"])
     wanted = named.join(queries.select(id_col).distinct(), id_col, "left_semi").select(id_col, "class_id")
-    own_bits, own_tables = keys_for(heads.count())
-    chosen = masks(bits or own_bits, tables or own_tables)
+    chosen = masks(bits, tables)
 
     def pair(v: Column, t: Column) -> Column:
         after = F.coalesce(F.get("prints", (t + 1).cast("int")), v)

@@ -477,6 +477,20 @@ def test_recall_of_noisy_and_shifted_copies(spark):
     assert all(any((a, b) in want for b in steps if head[b] == c) for a, c in found)
 
 
+def test_matches_do_not_depend_on_the_size_of_the_table(spark):
+    rng = np.random.default_rng(6)
+    ints = lambda n: rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)
+    rows = []
+    for i in range(40):
+        one = ints(30)
+        flips = np.packbits(rng.random((30, 32)) < 0.15, axis=1).view(">u4").ravel().astype(np.uint32)
+        rows += [(2 * i, one.view(np.int32).tolist()), (2 * i + 1, (one ^ flips).view(np.int32).tolist())]
+    more = [(100 + i, ints(25).view(np.int32).tolist()) for i in range(3000)]
+    asked = spark.range(80)
+    few, many = ({(r.id, r.match_class) for r in chroma.aligned(spark.createDataFrame(x, "id long, prints array<int>"), asked).collect()} for x in (rows, rows + more))
+    assert few == many and {(i, i) for i in range(80)} < few
+
+
 def test_silence_and_repeated_ids(spark):
     rows = [(1, pcm(np.zeros(9000))), (2, pcm(np.zeros(15000))), (3, pcm(tune(1, 40))), (3, pcm(tune(1, 40))), (4, pcm(tune(2, 40))), (4, pcm(tune(3, 40)))]
     prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"))
