@@ -7,13 +7,15 @@ that a raster has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..sources.frames import pixels
+from ..sources.frames import dealt, pixels
 
 
 def visible(px: DataFrame) -> DataFrame:
@@ -176,37 +178,47 @@ def equalized(frames: DataFrame) -> DataFrame:
 
 def class_limits(counts: np.ndarray, levels: int) -> list[int]:
     """Upper bins of all classes but the last that make the sum of n * mean**2
-    largest, over 256 bins, by dynamic programming."""
+    largest, over 256 bins, by dynamic programming over the bins that hold something:
+    a limit in a gap is as good at its lower end."""
     if not 2 <= levels <= 8:
         raise ValueError("levels are 2 to 8")
     if counts.sum() <= 1:
         return [0] * (levels - 1)
     n = np.concatenate([[0], np.cumsum(counts)]).astype(float)
     s = np.concatenate([[0], np.cumsum(counts * np.arange(256))]).astype(float)
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(n)) + 1])
+    if len(ends) <= levels:  # fewer bins that hold something than classes: some class is empty
+        ends = np.arange(257)
+    n, s, k = n[ends], s[ends], len(ends)
     size = n[None, :] - n[:, None]  # [from, until)
     score = np.where(size > 0, (s[None, :] - s[:, None]) ** 2 / np.where(size > 0, size, 1), 0.0)
     best, cuts = score[0].copy(), []
     best[0] = -np.inf
     for _ in range(levels - 1):
-        total = np.where(np.arange(257)[:, None] < np.arange(257)[None, :], best[:, None] + score, -np.inf)
+        total = np.where(np.arange(k)[:, None] < np.arange(k)[None, :], best[:, None] + score, -np.inf)
         cuts.append(total.argmax(0))
         best = total.max(0)
-    out, at = [], 256
+    out, at = [], k - 1
     for cut in reversed(cuts):
         at = int(cut[at])
-        out.append(at - 1)
+        out.append(int(ends[at]) - 1)
     return sorted(out)
 
 
 def otsu_levels(hist: DataFrame, levels: int, channel: str = "luma") -> DataFrame:
     """(frame_id, thresholds) of more than two classes; a raster's histogram has
-    256 rows at most."""
+    256 rows at most, which meet in one row, and rows go through in batches."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(256, np.int64)
-        counts[rows["bin"]] = rows["cnt"]
-        return pd.DataFrame({"frame_id": rows["frame_id"].iloc[:1], "thresholds": [class_limits(counts, levels)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for bins, cnt in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                counts = np.zeros(256, np.int64)
+                counts[bins] = cnt
+                found.append(class_limits(counts, levels))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["frame_id", "thresholds"])
 
     own = hist.where(F.col("channel") == channel)
     kind = own.schema["frame_id"].dataType.simpleString()
-    return own.groupBy("frame_id").applyInPandas(one, f"frame_id {kind}, thresholds array<int>")
+    rows = own.groupBy("frame_id").agg(F.collect_list(F.struct("bin", "cnt")).alias("h"))
+    return dealt(rows.select("frame_id", "h.bin", "h.cnt")).mapInArrow(run, f"frame_id {kind}, thresholds array<int>")

@@ -154,8 +154,7 @@ def _each_once(shapes: DataFrame, keys: list[str], at: Callable[[Column], Column
     out of a step. Equal curves are one. A curve that is alone under its keys has its
     points told apart within its row, so no point is shuffled; only those of curves
     that share their keys meet in a shuffle."""
-    n = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = shapes.repartition(n, *keys).distinct().withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    own = dealt(shapes, *keys).distinct().withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     flat = own.select(*keys, "__n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(steps)), at))).alias("p"))
     flat = flat.select(*keys, "__n", "p.x", "p.y").where("x >= 0 and y >= 0")
     return flat.where("__n = 1").drop("__n").union(flat.where("__n > 1").drop("__n").distinct())

@@ -21,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """The same rows over as many tasks as a shuffle has, whatever files they lie in:
     for rows of some bytes of which each becomes hundreds, as one small file is one
-    task. A number is given, as else tasks are put together by the bytes they read."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    task. A number is given, as else tasks are put together by the bytes they read,
+    which is little for what packs well. With keys, rows of one key come together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def from_embeddings(vectors: DataFrame) -> DataFrame:

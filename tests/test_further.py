@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framequarry.functions import harmony, names
-from framequarry.operators import effects, seams, shapes, vector
+from framequarry.operators import effects, measures, seams, shapes, vector
 from framequarry.sources import animations, codecs, palettes, sprites
 from framequarry.sources.frames import pixels
 
@@ -134,3 +134,35 @@ def test_interlaced_pngs_are_told_from_plain_ones(spark):
     assert back[0].pixels == back[1].pixels == px.ravel().tolist()
     assert [r.error for r in animations.decoded(frame.where("frame_id < 2").withColumnRenamed("frame_id", "anim_id")).collect()] == [None, None]
     assert [r["kind"] for r in sprites.records(woven, "x")] == [r["kind"] for r in sprites.records(plain, "x")] != ["error"]
+
+
+def _limits_over_all_bins(counts, levels):
+    n, s = (np.concatenate([[0], np.cumsum(c)]).astype(float) for c in (counts, counts * np.arange(256)))
+    size = n[None, :] - n[:, None]
+    score = np.where(size > 0, (s[None, :] - s[:, None]) ** 2 / np.where(size > 0, size, 1), 0.0)
+    best, cuts, out, at = score[0].copy(), [], [], 256
+    best[0] = -np.inf
+    for _ in range(levels - 1):
+        total = np.where(np.arange(257)[:, None] < np.arange(257)[None, :], best[:, None] + score, -np.inf)
+        cuts.append(total.argmax(0))
+        best = total.max(0)
+    for cut in reversed(cuts):
+        at = int(cut[at])
+        out.append(at - 1)
+    return sorted(out)
+
+
+def test_class_limits_of_histograms_in_one_partition(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        bins = rng.choice(256, 1 + i % 30, replace=False)
+        rows += [(i, "luma", int(b), int(rng.integers(1, 9))) for b in bins]
+    out = measures.otsu_levels(spark.createDataFrame(rows, "frame_id long, channel string, bin int, cnt long"), 4)
+    assert "ArrowInPandas" not in out._jdf.queryExecution().optimizedPlan().toString().replace("FlatMapGroupsIn", "ArrowInPandas")
+    got = {r.frame_id: r.thresholds for r in out.collect()}
+    for i in range(60):
+        counts = np.zeros(256, np.int64)
+        for _, _, b, c in (r for r in rows if r[0] == i):
+            counts[b] = c
+        assert got[i] == (_limits_over_all_bins(counts, 4) if counts.sum() > 1 else [0] * 3)
