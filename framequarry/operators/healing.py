@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.frames import dealt
 from . import describe
 from .sequential import _alpha, _holes, component_labels
 
@@ -125,7 +126,7 @@ def mended(frames: DataFrame, tolerance: int = 24, tiny: int = 2, repairs: tuple
 def healed(frames: DataFrame, tolerance: int = 24, tiny: int = 2, repairs: tuple[str, ...] = REPAIRS, guarded: bool = True) -> DataFrame:
     """What `mended` gives with findings and score before and after, and `applied`:
     guarded, a raster whose score would fall stays as it was, without repairs."""
-    made = mended(frames, tolerance, tiny, repairs)
+    made = mended(dealt(frames), tolerance, tiny, repairs).persist()  # six steps below read it
     was = describe.scores(frames, tiny, tolerance).select("frame_id", F.col("findings").alias("findings_before"), F.col("score").alias("score_before"))
     now = describe.scores(made.select("frame_id", "w", "h", "pixels"), tiny, tolerance).select("frame_id", F.col("findings").alias("findings_after"), F.col("score").alias("score_after"))
     first = frames.select("frame_id", F.col("pixels").alias("__was"))

@@ -99,3 +99,9 @@ def test_scores_and_guard(spark):
     assert healing.healed(fr.limit(0)).isEmpty()
     with pytest.raises(ValueError):
         healing.mended(fr, repairs=("gloss",))
+
+
+def test_mended_rasters_are_made_once(spark):
+    fr = spark.createDataFrame([(1, 2, 2, [-1, 0, 0, -1])], "frame_id long, w int, h int, pixels array<int>")
+    plan = healing.healed(fr)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan
