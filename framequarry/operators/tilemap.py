@@ -2,7 +2,8 @@
 
 cells: map_id, layer (place, bottom first), x, y, tile (below 0: empty), flip
 (1: mirrored across, 2: down, 3: both). tiles: tile, pixels of a square raster,
-terrain. An empty cell may be absent.
+terrain. An empty cell may be absent. Tiles are few and of fixed size, so they are
+sent to the cells; a join by tile would bring all cells of a tile into one task.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def tile_added(tiles: DataFrame, pixels: list[int], terrain: int = 0) -> DataFra
 
 def terrain_of(cells: DataFrame, tiles: DataFrame) -> DataFrame:
     """Cells with the terrain of their tile; empty and unknown ones have 0."""
-    return cells.join(tiles.select("tile", "terrain"), "tile", "left").withColumn("terrain", F.coalesce("terrain", F.lit(0)))
+    return cells.join(F.broadcast(tiles.select("tile", "terrain")), "tile", "left").withColumn("terrain", F.coalesce("terrain", F.lit(0)))
 
 
 def _flipped(size: int) -> Column:
@@ -82,7 +83,7 @@ def _flipped(size: int) -> Column:
 def rendered(cells: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     """(map_id, x, y, argb): the pixels of the cells that have tiles. The tiles
     of a cell lie over one another within a row; maps are not gathered."""
-    met = filled(cells).join(tiles.select("tile", "pixels"), "tile")
+    met = filled(cells).join(F.broadcast(tiles.select("tile", "pixels")), "tile")
     layers = met.select("map_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(size).alias("w"), F.lit(size).alias("h"), F.col("layer").alias("place"), F.lit(255).alias("op"), _flipped(size).alias("pixels"))
     flat = stacked(layers, ["map_id", "cx", "cy"]).select("map_id", "cx", "cy", F.posexplode_outer("pixels").alias("i", "argb"))
     return flat.select("map_id", (F.col("cx") * size + F.col("i") % size).cast("int").alias("x"), (F.col("cy") * size + C.idiv(F.col("i"), size)).cast("int").alias("y"), "argb")

@@ -208,7 +208,7 @@ _TILES = [(0, [-1, 0, -65536, -16777216], 0), (1, [1082130432, -16711936, -16711
 
 
 def cells(s: SparkSession, d: str) -> DataFrame:
-    px = S.pixels(frames(s, d))
+    px = S.pixels(S.from_embeddings(S.dealt(S.table(s, d, "embeddings"))))  # a vector becomes 128 cells
     c = F.col("argb")
     layers = F.array(F.struct(F.lit(0).alias("layer"), C.blue(c).bitwiseAND(3).alias("tile")), F.struct(F.lit(1).alias("layer"), (C.green(c).bitwiseAND(3) - 1).alias("tile")))
     return px.select(F.col("frame_id").alias("map_id"), F.explode(layers).alias("l"), "x", "y", C.red(c).bitwiseAND(3).alias("flip")).select("map_id", "l.layer", "x", "y", "l.tile", "flip")

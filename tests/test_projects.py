@@ -91,3 +91,19 @@ def test_flat_polygons(spark):
     corners = [(1, 0, 0, 3), (1, 1, 9, 3), (1, 2, 5, 3), (2, 0, 0, 0), (2, 1, 4, 4), (3, 0, -5, -5), (3, 1, 50, -5), (3, 2, 50, 50), (3, 3, -5, 50)]
     got = shapes.polygons_filled(spark.createDataFrame(corners, "shape int, ord int, x int, y int"), ["shape"], 6, 4).collect()
     assert {r.shape for r in got} == {3} and len(got) == 24
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_tiles_are_sent_to_the_cells(spark, limit):
+    """Neither are cells held whole by each task, nor do all cells of a tile meet in one."""
+    from framequarry.plans import projects
+
+    cells, tiles = projects.cells(spark, "/root/testdata/sf0.001"), projects.tiles(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        for out in (tilemap.rendered(cells, tiles, 2), tilemap.terrain_of(cells, tiles)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
